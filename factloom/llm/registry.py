@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import queries_content, queries_tokens
+from factloom.llm import queries_content, queries_sources, queries_tokens
 
-_MODULES = (queries_tokens, queries_content)
+_MODULES = (queries_sources, queries_tokens, queries_content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
