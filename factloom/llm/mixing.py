@@ -102,7 +102,9 @@ def sized(documents: DataFrame, targets: DataFrame, key: str, text: str, path: s
     wanted = targets.where("source is not null").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("t"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r")).collect()
     shares = {r.source: Share(r.source, max(0.0, r.t), max(0, r.r)) for r in wanted}
     known = documents.where(F.col("source").isin(sorted(shares))).withColumn("order", F.xxhash64(key))
-    rows = placed(count_tokens(known, [key, "source", "order"], text, path, "size"), ["source", "order", key], "sized")
+    # written before the range sort, which reads its input twice: once for the bounds
+    counted = materialize(count_tokens(known, [key, "source", "order"], text, path, "size"), "counted")
+    rows = placed(counted, ["source", "order", key], "sized")
     parts = materialize(rows.groupBy("pid", "source").agg(F.sum("size").alias("sum"), F.count("*").alias("n")), "parts")
     for r in parts.groupBy("source").agg(F.sum("sum").alias("size"), F.sum("n").alias("n")).collect():
         shares[r.source].records, shares[r.source].size = r.n, r.size
