@@ -66,8 +66,8 @@ def _segments(first: str, last: str) -> Column:
         f"""flatten(transform(sequence(0, 40), k -> filter(array_distinct(array(
             named_struct('level', k, 'no', shiftright({first} + shiftleft(1L, k) - 1, k)),
             named_struct('level', k, 'no', shiftright({last} + 1, k) - 1))),
-          s -> shiftleft(s.no, k) >= {first} and shiftleft(s.no + 1, k) - 1 <= {last}
-            and not (shiftleft(shiftright(s.no, 1), k + 1) >= {first} and shiftleft(shiftright(s.no, 1) + 1, k + 1) - 1 <= {last}))))"""
+          g -> shiftleft(g.no, k) >= {first} and shiftleft(g.no + 1, k) - 1 <= {last}
+            and not (shiftleft(shiftright(g.no, 1), k + 1) >= {first} and shiftleft(shiftright(g.no, 1) + 1, k + 1) - 1 <= {last}))))"""
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import facts, graph_queries
+from factloom.plans import facts, graph_queries, text_queries, write_queries
 
-_MODULES = (facts, graph_queries)
+_MODULES = (facts, graph_queries, text_queries, write_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
