@@ -75,7 +75,7 @@ def submodule_paths(gitmodules: str) -> list[str]:
 def discover(spark: SparkSession, root: str, exclusions: Exclusions | None = None, most: int = MAX_BYTES) -> DataFrame:
     """path, uri, language, byte_len, content_hash, content, reason of all files below root.
 
-    Excluded files come without content; it is not read for them nor for files that are too large."""
+    Excluded files come without content. Empty files hold nothing to find; the scan leaves them out."""
     base = root if "://" in root else f"file://{root}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace("path", "^file:/*", "/")
