@@ -193,16 +193,21 @@ def count_tokens(df: DataFrame, keys: list[str], text: str, path: str, into: str
     return df.select(*keys, text).mapInArrow(run, schema.add(into, "long"))
 
 
-def roundtrip(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """key, n_tokens, n_bytes, same: whether the ids decode to the text again."""
+def roundtrip(df: DataFrame, key: str, text: str, path: str, keep: list[str] = ()) -> DataFrame:
+    """key, the columns of keep, n_tokens, n_bytes, same: whether the ids decode to the text again."""
+    own = df.select(F.col(key).cast("long"), *keep, text)
+    schema = own.drop(text).schema.add("n_tokens", "long").add("n_bytes", "long").add("same", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [np.frombuffer(known.packed(t), dtype="<i4").tolist() for t in texts]
-            same = [known.decoded(i) == (t or "") for i, t in zip(ids, texts)]
-            sizes = [len((t or "").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(sizes, pa.int64()), pa.array(same)], names=[key, "n_tokens", "n_bytes", "same"])
-
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, f"{key} long, n_tokens long, n_bytes long, same boolean")
+            n_tokens, n_bytes, same = [], [], []
+            for t in batch.columns[-1].to_pylist():
+                ids = np.frombuffer(known.packed(t), dtype="<i4").tolist()
+                n_tokens.append(len(ids))
+                n_bytes.append(len((t or "").encode()))
+                same.append(known.decoded(ids) == (t or ""))
+            columns = [*batch.columns[:-1], pa.array(n_tokens, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *keep, "n_tokens", "n_bytes", "same"])
+
+    return own.mapInArrow(run, schema)

@@ -21,8 +21,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, flagged documents and rate per source, and how many show each kind."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rows = docs.join(p10_scores(spark, sf_dir), "doc_id")
+    rows = abuse.scores(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
     flagged = F.col("score") >= abuse.THRESHOLD
     kinds = [F.count_if(F.array_contains("kinds", k)).alias(f"n_{k}") for k in ("insult", "threat", "hate", "sexual")]
     return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(flagged).alias("n_flagged"), F.avg(flagged.cast("int")).alias("rate"), *kinds)

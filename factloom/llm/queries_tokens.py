@@ -17,9 +17,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: tokens, bytes, and documents whose ids do not decode to their text."""
-    docs = table(spark, sf_dir, "documents")
-    back = bpe.roundtrip(docs, "doc_id", "text", bpe.default_path())
-    rows = back.join(docs.select("doc_id", "source"), "doc_id")
+    rows = bpe.roundtrip(table(spark, sf_dir, "documents"), "doc_id", "text", bpe.default_path(), ["source"])
     return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"), F.count_if(~F.col("same")).alias("n_differing"))
 
 
