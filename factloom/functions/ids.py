@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,29 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def fingerprint(files: DataFrame, groups: list[str], path: str, digest: str) -> DataFrame:
-    """groups, fingerprint: sha256 over the sorted lines "path:hash" of each group."""
-    line = F.concat(F.col(path), F.lit(":"), F.col(digest), F.lit("\n"))
-    # one line of about 100 bytes per file of a workspace; a group is one workspace's file list
-    return files.groupBy(*groups).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("fingerprint"))
+def fingerprint(files: DataFrame, group: str, path: str, digest: str) -> DataFrame:
+    """group, fingerprint: sha256 over the sorted lines "path:hash" of each group.
+
+    The lines of a group run through one hash in order: its task sorts on disk and holds one
+    batch of lines, however many files the group has. A null hash is an empty one."""
+    line = F.concat(F.col(path), F.lit(":"), F.coalesce(digest, F.lit("")), F.lit("\n"))
+    rows = files.select(F.col(group).cast("long").alias("g"), line.alias("line")).where("g is not null and line is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([state.hexdigest()])], names=["g", "fingerprint"])
+
+        for batch in batches:
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g != at:
+                    if state is not None:
+                        yield out()
+                    at, state = g, hashlib.sha256()
+                state.update(x.encode())
+        if state is not None:
+            yield out()
+
+    ordered = rows.repartition("g").sortWithinPartitions("g", "line")
+    return ordered.mapInArrow(run, "g long, fingerprint string").withColumnRenamed("g", group)

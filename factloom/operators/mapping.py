@@ -95,6 +95,24 @@ def reference_sources(references: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
+def soul_sources(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref, sym: as containing, but never a string symbol; without one the file's first file symbol. symbols also have kind."""
+    rows = containing(references, symbols.where("kind != 'string'"))
+    files = symbols.where("kind = 'file'").groupBy("file").agg(F.min_by("sym", "ord").alias("home"))
+    return rows.join(files, "file", "left").select("ref", F.coalesce("sym", "home").alias("sym"))
+
+
+def references_of_ids(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """For ids asked for (ask, soul_id) all places that name them (soul_id, kind, place): annotations and wikilinks alike."""
+    return asked.join(named.where("kind in ('object', 'string')"), "soul_id").select("ask", "soul_id", "kind", "place")
+
+
+def normal_calls(calls: DataFrame) -> DataFrame:
+    """Outgoing calls (target, file, sites: array of structs with file) with the sites of their own file only, those without any left out."""
+    own = F.filter("sites", lambda x: x["file"] == F.col("file"))
+    return calls.withColumn("sites", F.array_sort(own)).where(F.size("sites") > 0)
+
+
 def call_targets(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """call, target, mode: exact selection range, else the smallest range around the call of that name, else the nearest of that name and kind.
 

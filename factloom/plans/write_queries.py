@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids, text
-from factloom.operators import mapping, merge, staleness
+from factloom.operators import extraction, lookups, mapping, merge, staleness
 from factloom.plans import views
 from factloom.session import table
 
@@ -197,8 +197,7 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = views.files(spark, sf_dir).select("workspace_id", "path", F.coalesce("content_hash", F.lit("")).alias("content_hash"))
-    return ids.fingerprint(files, ["workspace_id"], "path", "content_hash")
+    return ids.fingerprint(views.files(spark, sf_dir), "workspace_id", "path", "content_hash")
 
 
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +225,34 @@ def text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
+def active_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.active_symbols(views.nodes(spark, sf_dir), views.files(spark, sf_dir)).select("uri", "id", "kind", "name", "start_line", "end_line")
+
+
+def completed_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the files whose document-symbol route is complete."""
+    hashes = views.files(spark, sf_dir).select(F.col("uri").alias("scope_key"), "workspace_id", "content_hash")
+    routes = route_transitions(spark, sf_dir).join(hashes, ["workspace_id", "scope_key"])
+    return lookups.completed_hashes(routes)
+
+
+def flatten_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the responses as received, with kinds, qualified names and containers."""
+    return extraction.document_symbols(table(spark, sf_dir, "symbol_payloads"), "payload_id", "raw_json", "file_uri")
+
+
+def symbol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contains edges of every symbol list, from its parents' keys."""
+    rows = table(spark, sf_dir, "extracted_symbols").select("workspace_id", "language", "run_id", F.col("file_uri").alias("uri"), "symbol_key", "parent_symbol_key", "name", "kind", "qualified_name", "range", "selection_range").distinct()
+    return extraction.symbol_rows(rows, "workspace_id", "language", "run_id")[1].select("id", "src_node_id", "dst_node_id").distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         upsert_edges, upsert_nodes, route_transitions, observations_dedup, append_occurrences, stale_nodes, stale_nodes_source_file, stale_edges_route, stale_edges_file, stale_edges_origin,
         stale_batch_nodes, stale_batch_edges, stale_file, closed_nodes, stale_fts, containment_join, reference_sources, nearest_target, reference_groups, relation_rows, missing_endpoints,
-        incremental_diff, workspace_fingerprint, file_languages, encoded_paths, keys_of_file, text_gate,
+        incremental_diff, workspace_fingerprint, file_languages, encoded_paths, keys_of_file, text_gate, active_symbols, completed_hashes, flatten_symbols, symbol_rows,
     )
 }
 
@@ -319,4 +340,8 @@ SQL = {
     "encoded_paths": "select distinct path, replace(url_encode(path), '%2F', '/') encoded, regexp_extract(path, '[^/]*$') \"name\" from fts_inputs where path is not null",
     "keys_of_file": "select provider, count(*) n_symbols, count(*) filter (where symbol_key = 'file:' || file_uri or starts_with(symbol_key, file_uri || '#')) n_own from (select distinct * from extracted_symbols) group by 1",
     "text_gate": "select case when content is null then 'unreadable' when strlen(content) > 209715200 then 'too_large' when contains(content, chr(0)) then 'binary' else 'text' end reason, count(*) n_rows from fts_inputs where file_id is not null group by 1",
+    "active_symbols": f"""{views.sql("files", "n")} select f.uri, n.id, n.kind, n."name", coalesce(n.start_line, 0) start_line, coalesce(n.end_line, 0) end_line from n join files f on f.id = n.file_id where n.valid_to_run_id is null and n.kind <> 'file'""",
+    "completed_hashes": f"{views.sql('files', 'routes')} select r.workspace_id, r.route, r.provider, r.scope_key, f.content_hash from routes r join files f on f.workspace_id = r.workspace_id and f.uri = r.scope_key where r.scope = 'file' and r.last_status = 'complete' and r.last_complete_run_id is not null",
+    "symbol_rows": f"""with s as (select distinct {_id("workspace_id", '"language"', "coalesce(parent_symbol_key, 'file:' || file_uri)")} b, {_id("workspace_id", '"language"', "symbol_key")} i, workspace_id from extracted_symbols)
+ select distinct {_id("workspace_id", "b", "i", "'contains'", "'document-symbol'")} id, b src_node_id, i dst_node_id from s""",
 }

@@ -105,6 +105,18 @@ class GraphService:
         results = [r | {"document": docs.get((r["workspace_id"], r["soul_id"])), "source_annotations": mine(notes, r), "markdown_references": mine(refs, r), "markdown_reference_count": len(mine(refs, r))} for r in ids]
         return {"total": total, "results": results, "next_cursor": ask.next_cursor(at, n, at + n < total)}
 
+    def resources(self) -> dict[str, str]:
+        """Texts about the store itself: its tables, workspaces and routes."""
+        from factloom.sources import schema
+        from factloom.sources.sinks import json_lines, sanitized
+
+        texts = {
+            "schema": "\n".join(f"{t}({c})" for t, c in schema.TABLES.items()),
+            "workspaces": json_lines(_rows(self.g.workspaces.orderBy("id"))),
+            "routes": json_lines(_rows(graph.route_status(self.g, ask.LIMITS.routes.most))),
+        }
+        return {k: sanitized(v) for k, v in texts.items()}
+
     def tools(self) -> dict[str, Callable]:
         """The endpoints by name; call() wraps their answers."""
         return {

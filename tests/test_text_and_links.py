@@ -119,3 +119,15 @@ def test_kinds(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2, 3, 22, 26, 0, 99, None)], "k int")
     got = [tuple(r) for r in df.select(mapping.normal_kind(F.col("k")), mapping.kind_name(F.col("k"))).collect()]
     assert got == [("file", "File"), ("module", "Module"), ("module", "Namespace"), ("enum_member", "EnumMember"), ("type_parameter", "TypeParameter"), ("object", "Unknown"), ("object", "Unknown"), ("object", "Unknown")]
+
+
+def test_soul_sources_and_calls(spark):
+    struct = "struct<start_line:long,start_col:long,end_line:long,end_col:long>"
+    symbols = spark.createDataFrame([(1, "string", (1, 0, 1, 9), "str", 0), (1, "file", (0, 0, 0, 0), "home", 1), (1, "object", (1, 0, 3, 0), "obj", 2)], f"file int, kind string, s {struct}, sym string, ord int")
+    refs = spark.createDataFrame([(1, 1, (1, 2, 1, 4)), (2, 1, (9, 0, 9, 1)), (3, 2, (1, 0, 1, 1))], f"ref long, file int, r {struct}")
+    assert {r.ref: r.sym for r in mapping.soul_sources(refs, symbols).collect()} == {1: "obj", 2: "home", 3: None}
+    calls = spark.createDataFrame([("t", "f", [("f", 2), ("g", 1), ("f", 1)]), ("u", "f", [("g", 1)])], "target string, file string, sites array<struct<file:string,line:int>>")
+    assert [[x.line for x in r.sites] for r in mapping.normal_calls(calls).collect()] == [[1, 2]]
+    asked = spark.createDataFrame([(1, "a")], "ask int, soul_id string")
+    named = spark.createDataFrame([("a", "object", "p"), ("a", "string", "q"), ("a", "file", "r"), ("b", "object", "s")], "soul_id string, kind string, place string")
+    assert {r.place for r in mapping.references_of_ids(asked, named).collect()} == {"p", "q"}
