@@ -226,7 +226,7 @@ def shortest_path(g: Graph, source: str, target: str, max_depth: int | None = No
 def reachable(g: Graph, sources: DataFrame, depth: int) -> DataFrame:
     """source, node_id, depth of everything reached from many sources (source) within depth steps, breadth first."""
     active = g.active_nodes.select(F.col("id").alias("dst_node_id"))
-    edges = g.active_edges.join(active, "dst_node_id", "left_semi").select("src_node_id", "dst_node_id").distinct()
+    edges = materialize(g.active_edges.join(active, "dst_node_id", "left_semi").select("src_node_id", "dst_node_id").distinct(), "steps")
     seen = materialize(sources.select("source", F.col("source").alias("node_id"), F.lit(0).alias("depth")), "seen")
     level = seen
     for d in range(1, depth + 1):

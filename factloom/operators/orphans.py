@@ -32,9 +32,11 @@ def packed(key: Column) -> Column:
 
 
 def _leading(packed_key: Column) -> Column:
-    """The order of the keys' first six bytes as a number; other texts by their own first bytes."""
-    own = F.when(F.octet_length(packed_key) == 32, packed_key).otherwise(F.substring(packed_key, 33, 6))
-    return F.conv(F.rpad(F.hex(F.substring(own, 1, 6)), 12, "0"), 16, 10).cast("double")
+    """The order of the first six bytes of a key that is a digest, of the digest of any other.
+
+    So texts that begin alike spread over the ranges as evenly as digests do."""
+    own = F.when(F.octet_length(packed_key) == 32, packed_key).otherwise(F.unhex(F.sha2(packed_key, 256)))
+    return F.conv(F.hex(F.substring(own, 1, 6)), 16, 10).cast("double")
 
 
 def _in_ranges(df: DataFrame, splits: list[float]) -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from factloom.operators import graph as ops
 from factloom.plans import views
 from factloom.requests import Direction
+from factloom.session import materialize
 
 TEXT, ESCAPED, DEPTH = "probe", "e_r", 2
 
 
 def _hub(g: ops.Graph) -> str:
-    """The active node with most active edges into it (least id of equals): one row."""
+    """The active node with most active edges into it (least id of equals): one row.
+
+    The edges are read again by what follows, so they are written once."""
+    g.edges = materialize(g.edges, "edges")
     active = g.active_nodes.select(F.col("id").alias("node_id"))
     counts = ops.edge_counts(g, "dst_node_id", "n").join(active, "node_id", "left_semi")
     top = counts.agg(F.min(F.struct(-F.col("n"), "node_id"))["node_id"].alias("id")).first()
@@ -22,6 +26,7 @@ def _hub(g: ops.Graph) -> str:
 
 def _source(g: ops.Graph) -> str:
     """The same for edges out of it."""
+    g.edges = materialize(g.edges, "edges")
     active = g.active_nodes.select(F.col("id").alias("node_id"))
     counts = ops.edge_counts(g, "src_node_id", "n").join(active, "node_id", "left_semi")
     return counts.agg(F.min(F.struct(-F.col("n"), "node_id"))["node_id"].alias("id")).first()["id"] or ""
