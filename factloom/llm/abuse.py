@@ -8,8 +8,8 @@ Negated, self-directed, quoted and reported clauses are recognised by patterns o
 and take the weight back. A text's score is the largest weight of its clauses plus a tenth
 of the others; an isolated word scores nothing.
 
-Whole texts are read. Only the words around a rare lexicon word are composed into clauses:
-every pattern contains such a word, so no clause is missed.
+Whole texts are read. A clause is looked for in every text that holds the words without which
+it cannot match; these words are derived from its pattern (`needs`), so no clause is missed.
 
 Defined cases: null, empty and blank texts score 0; texts in other languages score by the
 words they share with the grammar's four; a null or repeated id is a row of its own."""
@@ -20,6 +20,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as sre
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 THRESHOLD = 1.0
-#: Words on either side of a rare word that are composed into clauses; longer than any pattern.
-AROUND = 30
 #: Spellings that a worker remembers.
 CACHE = 500_000
 
@@ -55,14 +55,14 @@ indians chinese africans arabs mexicans frauen auslander femmes etrangers mujere
 """.split()
 ROLES = "author reviewer maintainer boss manager guy whoever contributor developer coworker colleague lead team intern admin".split()
 OBSCENE = "fuck fvck fck fuk phuck fucking shit porn nudes horny tits cock dick pussy xxx cumshot blowjob".split()
-#: Person addressed, in four languages, and further words: every clause below has one of these or of the lists above.
+#: Person addressed, in four languages, and further words whose stretched spellings are made plain, as are those of the lists above.
 PERSON = "you you're youre your yourself dich euch tu toi eres".split()
 CUES = """
 brains naked sex suck moaned ashamed favour favor vermin filth hell zoo gutter hire born throw allowed came belong belongs wipe
 verpiss verpisst fresse klappe schnauze maul solche ojala vete gueule casse degage nadie foutre explicit underwear hope whoever
 kill smash burn burned bleed teeth skull strangle nobody live cam subhuman women
 """.split()
-#: Insults that are everyday words in one of the languages: alone they do not draw attention.
+#: Insults that are everyday words in one of the languages: their stretched spellings stay as they are.
 EVERYDAY = {"rate", "con", "pig", "jerk", "prick", "creep", "fool", "worm", "pate", "sale", "garbage", "dirt", "trash", "animals", "disease", "escoria", "plague", "savages", "live", "nobody"}
 
 _INSULT, _WORD = set(INSULTS), re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,()\"“”„«»]|\S")
@@ -126,23 +126,6 @@ def spelled(raw: str) -> str:
     return "".join(unmasked(w) + " " for w in _WORD.findall(t))
 
 
-class _Pieces(dict):
-    """0: nothing of the grammar, 1: a rare word, 2: a single letter (part of a spaced word?)."""
-
-    def __missing__(self, raw: str) -> int:
-        core = raw.lower().strip(_EDGES)
-        if core.isascii() and core.isalpha() and not _STRETCHED.search(core):
-            out = 1 if core in _RARE else 2 if len(core) == 1 else 0
-        elif core.isdigit() or "_" in raw:
-            out = 0
-        else:
-            out = 1 if not _RARE.isdisjoint(spelled(raw).split()) else 2 if len(core) == 1 and core.isalpha() else 0
-        if len(self) >= CACHE:
-            self.clear()
-        self[raw] = out
-        return out
-
-
 def _any(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 
@@ -246,13 +229,16 @@ _REPORTED = re.compile(
 )
 _SELF = re.compile(r"(?<=\s)(?:i was|i am|i'm|i feel|i felt like|ich bin|ich war|ich|je suis|je fais|j'ai|quel|fui|soy|yo) (?:such )?(?:an? |ein |un )?(?:\S+ )?$")
 _NEGATED = re.compile(r"(?<=\s)(?:not|never|isn't|aren't|wasn't|don't (?:think|say|call)|nobody (?:is|was)|kein|keine|nicht|pas) (?:saying |calling |an? |that |ein |un )*$")
+#: What stands around "get lost" and "drop dead" when somebody is told so: edits get lost and sweeps drop dead rows too.
+_TOLD_AHEAD = re.compile(r"(?:^|[^\w\s'’]|@ ?all) *(?:(?:oh|now|just|please|honestly|go and|you (?:can|should|could)(?: all)?) )*$")
+_TOLD_AFTER = re.compile(rf" (?:$|[.!?,:;()\"“”„«»] |(?:you|and|already) |{_any(INSULTS)}s? )")
 
 
-def clauses(words: str) -> Iterator[tuple[str, float, str]]:
-    """(kind, weight, words) of the clauses of a stretch of plain words."""
-    for kind, weight, pattern in CLAUSES:
+def clauses(words: str, among: list[tuple[str, float, re.Pattern]] = CLAUSES) -> Iterator[tuple[str, float, str]]:
+    """(kind, weight, words) of the clauses of a text of plain words."""
+    for kind, weight, pattern in among:
         for m in pattern.finditer(words):
-            start = max((x.end() for x in _SENTENCE.finditer(words, 0, m.start())), default=0)
+            start = max(words.rfind(mark, 0, m.start()) for mark in ".!?") + 1
             end = (x := _SENTENCE.search(words, m.end())) and x.start() or len(words)
             ahead, inside = words[start : m.start()], m[0]
             around = f" {ahead[-120:]}{inside}{words[m.end() : min(end, m.end() + 80)]} "
@@ -263,20 +249,94 @@ def clauses(words: str) -> Iterator[tuple[str, float, str]]:
                 continue
             if kind == "insult" and _NEGATED.search(f" {ahead}"):
                 continue
+            if inside in ("get lost", "drop dead") and not (_TOLD_AHEAD.search(ahead.strip(" ") + " ") and _TOLD_AFTER.match(words, m.end())):
+                continue
             yield kind, weight, inside
 
 
+def _strings(tree) -> set[str]:
+    """What a pattern can match; \\0 stands for signs that are not known, without blanks."""
+    out = {""}
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            own = {chr(arg)}
+        elif op is sre.IN:
+            own = {chr(x) for _, x in arg} if all(o is sre.LITERAL for o, _ in arg) else {"\0"}
+        elif op is sre.BRANCH:
+            own = set().union(*map(_strings, arg[1]))
+        elif op is sre.SUBPATTERN:
+            own = _strings(arg[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            own = _strings(arg[2])
+            assert arg[1] == 1 or own <= {"\0", "\0 "}, "only unknown words may repeat"
+            own = own | {""} if arg[0] == 0 else own
+        elif op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT):
+            own = {""}
+        else:
+            raise ValueError(f"{op} in a clause")
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def needs(pattern: re.Pattern) -> list[frozenset[str]]:
+    """Sets of words: whatever the pattern matches has a word of each.
+
+    The pattern is cut where a word surely ends; every string that a cut can be gives its longest known word."""
+    out, own = set(), {""}
+
+    def cut() -> None:
+        words = [[w for w in x.split() if "\0" not in w] for x in own]
+        if all(words):
+            out.add(frozenset(max(w, key=len) for w in words))
+
+    for item in _parser.parse(pattern.pattern):
+        own = {a + b for a in own for b in _strings([item])}
+        if all(x == "" or x[-1] == " " for x in own):
+            cut()
+            own = {""}
+    cut()
+    return sorted(out, key=sorted)
+
+
+class _Pieces(dict):
+    """The needs of clauses that a white-space separated piece meets, as bits; bit 0: a single letter (part of a spaced word?)."""
+
+    def __init__(self):
+        sets = [needs(pattern) for _, _, pattern in CLAUSES]
+        bits = {s: 2 << i for i, s in enumerate(dict.fromkeys(x for xs in sets for x in xs))}
+        self.clauses = [(sum(bits[x] for x in xs), c) for xs, c in zip(sets, CLAUSES)]
+        self.words: dict[str, int] = {}
+        for words, bit in bits.items():
+            for w in words:
+                self.words[w] = self.words.get(w, 0) | bit
+
+    def of(self, words: str) -> int:
+        out = 0
+        for w in words.split():
+            out |= self.words.get(w, 0)
+        return out
+
+    def __missing__(self, raw: str) -> int:
+        core = raw.lower().strip(_EDGES)
+        out = self.of(spelled(raw))
+        if len(core) == 1 and core.isalpha():
+            out |= 1
+        if len(self) >= CACHE:
+            self.clear()
+        self[raw] = out
+        return out
+
+
 class Scorer:
     def __init__(self):
         self.pieces = _Pieces()
 
-    def _stretches(self, raw: list[str]) -> Iterator[str]:
+    def _spaced(self, raw: list[str]) -> dict[int, str]:
+        """Words spelled with blanks between their letters: the word at the first letter's place, nothing at the others."""
         marks = self.pieces
-        hits = [i for i, t in enumerate(raw) if marks[t]]
-        rare = [i for i in hits if marks[raw[i]] == 1]
         spaced: dict[int, str] = {}
         run: list[int] = []
-        for i in [*(i for i in hits if marks[raw[i]] == 2), -9]:
+        for i in [*(i for i, t in enumerate(raw) if marks[t] & 1), -9]:
             if run and i != run[-1] + 1:
                 if len(run) >= 4:
                     letters = "".join(_plain(raw[j]).strip(_EDGES) for j in run)
@@ -287,24 +347,29 @@ class Scorer:
                                 break
                 run = []
             run.append(i)
-        if not rare and not spaced:
-            return
-        at, until = [], -1
-        for i in sorted({*rare, *(i for i, w in spaced.items() if w)}):
-            lo, hi = max(0, i - AROUND), min(len(raw), i + AROUND + 1)
-            if at and lo <= until:
-                at[-1][1] = hi
-            else:
-                at.append([lo, hi])
-            until = hi
-        for lo, hi in at:
-            yield " " + "".join((spaced[j] + " " if spaced[j] else "") if j in spaced else spelled(raw[j]) for j in range(lo, hi))
+        return spaced
+
+    def composed(self, raw: list[str], spaced: dict[int, str]) -> str:
+        if not spaced:
+            return " " + "".join(map(spelled, raw))
+        return " " + "".join((spaced[j] + " " if spaced[j] else "") if j in spaced else spelled(t) for j, t in enumerate(raw))
+
+    def _found(self, raw: list[str]) -> Iterator[tuple[str, float, str]]:
+        marks, met = self.pieces, 0
+        for t in set(raw):
+            met |= marks[t]
+        spaced = self._spaced(raw) if met & 1 else {}
+        for w in spaced.values():
+            met |= marks.of(w)
+        open_to = [c for need, c in marks.clauses if need & met == need]
+        if open_to:
+            yield from clauses(self.composed(raw, spaced), open_to)
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
         """Score and kinds of a text."""
         if not text:
             return 0.0, []
-        found = [c for words in self._stretches(text.split()) for c in clauses(words)]
+        found = list(self._found(text.split()))
         if not found:
             return 0.0, []
         weights = sorted((w for _, w, _ in found), reverse=True)

@@ -33,6 +33,42 @@ def test_not_found(text):
     assert abuse.scorer().score(text)[0] < abuse.THRESHOLD
 
 
+#: Clauses whose words are all common ones.
+COMMON = [
+    "Immigrants are animals", "The maintainers are idiots", "he is such a creep", "never merge code from Indians", "Get lost.", "Just drop dead, please", "nobody would miss him", "nice ass", "he took off her shirt", "Velmari are too stupid to understand a cache.", "va te faire voir", "what a jerk",
+]
+
+
+@pytest.mark.parametrize("text", COMMON)
+def test_found_by_common_words(text):
+    assert abuse.scorer().score(text)[0] >= abuse.THRESHOLD
+    assert abuse.scorer().score("word " * 5000 + ". " + text + " . word" * 5000)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Updates get lost when the queue is full.", "Then the sweep may drop dead rows.", "If you get lost, read the map.", "Drop dead edges first."])
+def test_not_told_to_anybody(text):
+    assert abuse.scorer().score(text)[0] < abuse.THRESHOLD
+
+
+def unfiltered(text):
+    scorer, raw = abuse.scorer(), (text or "").split()
+    weights = sorted((w for _, w, _ in abuse.clauses(scorer.composed(raw, scorer._spaced(raw)))), reverse=True)
+    return round(weights[0] + 0.1 * sum(weights[1:]), 3) if weights else 0.0
+
+
+def test_filter_drops_no_clause(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").distinct().collect()] + BAD + FINE[:-1] + COMMON
+    assert [t for t in texts if abuse.scorer().score(t)[0] != unfiltered(t)] == []
+
+
+def test_needs():
+    get = lambda p: set(map(frozenset, abuse.needs(abuse._clause(p))))
+    assert get("(?:you|u) <5>(?:fool|worm)s?") == {frozenset({"you", "u"}), frozenset({"fool", "fools", "worm", "worms"})}
+    assert get("(?:du|ihr) (?:bist )?<2>dumm") == {frozenset({"du", "ihr"}), frozenset({"dumm"})}
+    assert get("kill (?:you|your <1>(?:face|head))") == {frozenset({"kill"}), frozenset({"you", "your"})}
+    assert all(abuse.needs(p) for _, _, p in abuse.CLAUSES)
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, BAD[0], 3, "k"), (1, BAD[0], 3, "k"), (2, None, 3, "k"), (None, BAD[1], 3, "k")], "doc_id long, text string, score int, kinds string")
     got = sorted((repr(r.doc_id), r.score >= 1, r.kinds) for r in abuse.scores(df, "doc_id", "text").collect())
