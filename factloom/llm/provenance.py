@@ -3,7 +3,9 @@
 Code is reduced to tokens with identifiers, numbers and strings masked; shingles of five
 masked tokens are exact 45-bit codes. Files with equal shingle sets form one class; classes
 are banded by MinHash; in each band's bucket a class goes to the leader it resembles most or becomes one,
-and the link is verified on the exact sets (Jaccard at least 0.8). Connected classes are families: those of literals alone are blobs, those whose
+and the link is verified on the exact sets (Jaccard at least 0.8). Then all pairs of a bucket that these links
+leave apart are verified too, unless their sizes or the least number of codes in which they differ rule them
+out. Connected classes are families: those of literals alone are blobs, those whose
 members are machine-regular or minified are generated, those that sit in several
 repositories below third-party folders are vendored. An exact check of each file (its opening comment, its
 place, its own measures) follows and adds single files that no family holds.
@@ -30,6 +32,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Estimated similarity from which a leader is tried, below SIMILAR by two deviations; classes of a bucket that one task takes.
 MAYBE, BUCKET = 0.7, 50_000
+#: Bits of a set's parities, a power of two.
+CELLS = 2048
 
 #: Words that keep their identity when a token is masked; at most 300 in all with the signs below.
 KEYWORDS = """
@@ -224,11 +228,85 @@ def _led(rows: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_lead, "band int, key long, parts int, kind string, sig array<int>, leader string"), "led")
 
 
+def parities(codes: np.ndarray) -> np.ndarray:
+    """One bit a cell: whether an odd number of the codes falls into it. Two sets differ in no fewer codes than bits."""
+    with np.errstate(over="ignore"):
+        cell = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS.bit_length() + 1)
+    return np.packbits((np.bincount(cell.astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = [np.array(c, dtype=np.int64) for c in batch.column("codes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([len(c) for c in codes], pa.int32()), pa.array([parities(c).tobytes() for c in codes], pa.binary())], names=["kind", "n_codes", "bits"])
+
+
+class _Met:
+    """The rows of one bucket's task so far."""
+
+    def __init__(self, at: tuple | None):
+        self.at, self.n, self.names, self.known = at, 0, [], {}
+        self.size, self.family, self.part = (np.empty(16, dtype=np.int64) for _ in range(3))
+        self.bits = np.empty((16, CELLS // 64), dtype=np.uint64)
+
+    def meet(self, kind: str, family: str, part: int, size: int, bits: bytes, across: bool) -> list[str]:
+        """Earlier rows of another family (and another part, if across) that may be similar; the row is kept."""
+        fam, own, n = self.known.setdefault(family, len(self.known)), np.frombuffer(bits, dtype=np.uint64), self.n
+        may = (self.family[:n] != fam) & (np.minimum(self.size[:n], size) >= SIMILAR * np.maximum(self.size[:n], size))
+        if across:
+            may &= self.part[:n] != part
+        may = np.flatnonzero(may)
+        # a Jaccard of s at least: the sets differ in (1 - s) / (1 + s) of their sizes' sum at most
+        apart = np.bitwise_count(self.bits[may] ^ own).sum(1)
+        may = may[apart <= (1 - SIMILAR) / (1 + SIMILAR) * (self.size[may] + size) + 1e-6]
+        if n == len(self.size):
+            self.size, self.family, self.part, self.bits = (np.concatenate([x, np.empty_like(x)]) for x in (self.size, self.family, self.part, self.bits))
+        self.size[n], self.family[n], self.part[n], self.bits[n] = size, fam, part, own
+        self.names.append(kind)
+        self.n += 1
+        return [self.names[i] for i in may]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, key, low, high): the pairs of a bucket's task that may be similar though their families differ."""
+    met = _Met(None)
+    for batch in batches:
+        a, b = [], []
+        for band, key, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "low", "high", "kind", "family", "part", "n_codes", "bits"))):
+            if (band, key, low, high) != met.at:
+                met = _Met((band, key, low, high))
+            others = met.meet(*row, low != high)
+            a += [row[0]] * len(others)
+            b += others
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    both = pairs.join(kinds.select(F.col("kind").alias("a"), "codes"), "a").join(kinds.select(F.col("kind").alias("b"), F.col("codes").alias("other")), "b")
+    shared = F.size(F.array_intersect("codes", "other"))
+    return both.where(shared >= SIMILAR * (F.size("codes") + F.size("other") - shared)).select("a", "b")
+
+
+def missed_links(kinds: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(a, b): verified links of classes that share a bucket (rows: band, key, part, parts, kind) but no family yet.
+
+    Every pair is verified that the bounds on size and difference let through. In a bucket
+    of several parts each part meets itself and each other one."""
+    rows = rows.select("band", "key", "part", "parts", "kind").join(named, "kind")
+    mixed = rows.groupBy("band", "key").agg(F.min("family").alias("l"), F.max("family").alias("m")).where("l != m").select("band", "key")
+    rows = rows.join(mixed, ["band", "key"]).join(kinds.select("kind", "codes").mapInArrow(_sketch, "kind string, n_codes int, bits binary"), "kind")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with"))
+    rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
+    pairs = rows.mapInArrow(_meet, "a string, b string")
+    return _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kinds)
+
+
 def similar_links(kinds: DataFrame) -> DataFrame:
-    """(a, b): verified links of classes (kind, codes, sig) with the leader they resemble in a bucket they share.
+    """(a, b): verified links of classes (kind, codes, sig) that connect all similar ones that share a bucket.
 
-    A bucket's state is its leaders. Buckets of many classes are dealt to several tasks,
-    whose leaders then meet in one."""
+    First each class meets the leader it resembles. A bucket's state is its leaders. Buckets of
+    many classes are dealt to several tasks, whose leaders then meet in one. Then follow the
+    pairs that these links leave apart."""
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS)).alias("key")))
     rows = kinds.select("kind", "sig", F.inline(band))
     parts = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
@@ -236,11 +314,10 @@ def similar_links(kinds: DataFrame) -> DataFrame:
     near = _led(rows)
     among = _led(near.where("parts > 1 and kind = leader").withColumn("part", F.lit(-1)).withColumn("parts", F.lit(1)))
     pairs = near.unionByName(among).where("kind != leader").select(F.col("kind").alias("a"), F.col("leader").alias("b")).distinct()
-    both = pairs.join(kinds.select(F.col("kind").alias("a"), "codes"), "a").join(kinds.select(F.col("kind").alias("b"), F.col("codes").alias("other")), "b")
-    shared = F.size(F.array_intersect("codes", "other"))
-    links = both.where(shared >= SIMILAR * (F.size("codes") + F.size("other") - shared)).select("a", "b")
-    out = materialize(links, "links")
-    for x in (near, among):
+    led = materialize(_verified(pairs, kinds), "links")
+    named = families(kinds, led)
+    out = materialize(led.unionByName(missed_links(kinds, rows, named)), "links")
+    for x in (near, among, led, named):
         release(x)
     return out
 

@@ -118,6 +118,26 @@ def test_links_against_brute_force(spark, monkeypatch, bucket):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("bucket", [7, 50_000])
+def test_variants_of_one_template(spark, monkeypatch, bucket):
+    """In every bucket of x and y a variant comes first that looks similar to x and is not."""
+    monkeypatch.setattr(P, "BUCKET", bucket)
+    rnd = np.random.RandomState(5)
+    base = rnd.randint(0, 1 << 45, 100)
+    variant = lambda n: np.unique(np.concatenate([rnd.permutation(base)[n:], rnd.randint(0, 1 << 45, n)]))
+    sets = {f"d{i:02}": variant(16) for i in range(60)} | {"x": np.unique(base), "y": variant(10)}
+    df = spark.createDataFrame([(k, s.tolist(), P.signature(s).tolist()) for k, s in sets.items()], "kind string, codes array<long>, sig array<int>")
+    assert {tuple(sorted((r.a, r.b))) for r in P.similar_links(df).collect()} == {("x", "y")}
+
+
+def test_parities_bound_the_difference():
+    rnd = np.random.RandomState(6)
+    for n in (0, 1, 50, 5000):
+        a = np.unique(rnd.randint(0, 1 << 45, n))
+        b = np.unique(np.concatenate([a[n // 9 :], rnd.randint(0, 1 << 45, n // 10)]))
+        assert np.bitwise_count(P.parities(a) ^ P.parities(b)).sum() <= len(np.setxor1d(a, b)) and P.parities(a).nbytes * 8 == P.CELLS
+
+
 def test_found_through_queries(spark, small):
     from factloom.llm import registry
 
