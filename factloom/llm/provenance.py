@@ -5,10 +5,11 @@ masked tokens are exact 45-bit codes. Files with equal shingle sets form one cla
 are banded by MinHash; in each band's bucket a class goes to the leader it resembles most or becomes one,
 and the link is verified on the exact sets (Jaccard at least 0.8). Then all pairs of a bucket that these links
 leave apart are verified too, unless their sizes or the least number of codes in which they differ rule them
-out. Connected classes are families: those of literals alone are blobs, those whose
-members are machine-regular or minified are generated, those that sit in several
-repositories below third-party folders are vendored. An exact check of each file (its opening comment, its
-place, its own measures) follows and adds single files that no family holds.
+out. Connected classes are families. A family gives its reason to all its members if more than 80 % of
+them have it already: by their own measures (blobs, generated, minified) or by opening and place
+(generated; vendored if it is in several repositories). Being in a family, in one repository or
+many, is no reason by itself: hand-written files share masked shapes. What decides nearly every
+file is the exact check of its own (its opening comment, its place, its measures); see the README.
 
 Defined cases: the last indexed version of a file counts (ties: the larger path, content);
 null or empty content has no tokens and is judged by its path only; a null path has no
