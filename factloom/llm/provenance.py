@@ -83,15 +83,16 @@ _B = _SALT.randint(0, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
 
 
 def opening(text: str) -> str:
-    """The comments before the first line of code, and strings that stand there."""
-    out, size = [], 0
-    for m in _TOKEN.finditer(text):
-        if m.lastgroup not in ("c", "s") or size > 4000:
-            if m[0] in "[(" and text[m.start() : m.start() + 6].startswith("[//]"):
-                return text[m.start() : m.start() + 300]
+    """All comments before the first line of code, and strings that stand there."""
+    out, at = [], 0
+    while m := _TOKEN.search(text, at):
+        if m.lastgroup in ("c", "s"):
+            at = m.end()
+        elif text.startswith("[//]", m.start()):
+            at = end if (end := text.find("\n", m.start())) >= 0 else len(text)
+        else:
             break
-        out.append(m[0])
-        size += len(m[0])
+        out.append(text[m.start() : at])
     return "\n".join(out)
 
 

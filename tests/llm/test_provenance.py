@@ -36,6 +36,16 @@ def test_written_by_hand(text):
     assert P.told("src/a.rs", text) is None and P.machine_made(P.measures(text)[1]) is None
 
 
+def test_long_openings():
+    licence = "// Redistribution and use in source and binary forms are permitted.\n" * 200
+    assert P.told("src/a.rs", licence + "// Code generated by protoc-gen-go. DO NOT EDIT.\n" + HAND) == "generated"
+    assert P.told("src/a.rs", licence + "// Vendored from tomo 1.2.3\n" + HAND) == "vendored"
+    assert P.told("src/a.rs", licence + HAND + "// Code generated by protoc-gen-go. DO NOT EDIT.\n") is None
+    page = "[//]: # (" + "all rights reserved " * 40 + ")\n"
+    assert P.told("a.md", page + "[//]: # (This page is rendered from a.tmpl - do not edit)\n# Title\n") == "generated"
+    assert P.told("a.md", page + "# Title\n\nText on what was generated.\n") is None
+
+
 @pytest.mark.parametrize(("path", "want"), [("a/b.g.cs", "generated"), ("a/x_pb2.py", "generated"), ("a/Form.Designer.cs", "generated"), ("a/generated/x.rs", "generated"), ("a/codegen/x.rs", None), ("a/vendor/lib-1.0/x.rs", "vendored"), ("Vendor/lib/x.cs", "vendored"), ("a/vendors/lib/x.rs", None), ("a/vendor_portal/x.rs", None), ("a/external_links/x.rs", None), ("a/regenerated.rs", None), (None, None)])
 def test_places(path, want):
     assert P.told(path, HAND) == want
