@@ -2,7 +2,10 @@
 
 Delivered edges are upserted (the last row of an edge wins, its weight replaces), an edge
 ends with the first of its nodes that does, every edge row is a piece of evidence, and
-route statuses follow from the deliveries."""
+route statuses follow from the deliveries.
+
+Delivered edges without a run_id belong to no run and are left out here and in the SQL, so no
+query over edge_rows merges, closes or counts them."""
 
 from __future__ import annotations
 
