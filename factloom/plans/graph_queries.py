@@ -11,6 +11,8 @@ from factloom.requests import Direction
 from factloom.session import materialize
 
 TEXT, ESCAPED, DEPTH = "probe", "e_r", 2
+#: Steps and sources of the deep walks; a path may have no more steps.
+DEEP, MANY = 12, 50
 
 
 def _hub(g: ops.Graph) -> str:
@@ -141,6 +143,25 @@ def shortest_path(g):
     return spark.createDataFrame(rows, "step long, src_node_id string, relation string, edge_id string, dst_node_id string")
 
 
+@_run
+def reachable_deep(g):
+    """From the nodes with most edges out of them."""
+    g.edges = materialize(g.edges, "edges")
+    counts = ops.edge_counts(g, "src_node_id", "n").join(g.active_nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    sources = counts.orderBy(F.desc("n"), "node_id").limit(MANY).select(F.col("node_id").alias("source"))
+    return ops.reachable(g, materialize(sources, "sources"), DEEP)
+
+
+@_run
+def shortest_path_far(g):
+    """From the node with most edges out of it to one of those most steps away (the greatest id); its visited limit is the operator's own."""
+    spark, hub = g.nodes.sparkSession, _source(g)
+    far = ops.reachable(g, spark.createDataFrame([(hub,)], "source string"), DEEP).agg(F.max(F.struct("depth", "node_id"))["node_id"].alias("id")).first()["id"]
+    steps = ops.shortest_path(g, hub, far, DEEP, 5000) or []
+    rows = [(i, s["src_node_id"], s["relation"], s["edge_id"], s["dst_node_id"]) for i, s in enumerate(steps)]
+    return spark.createDataFrame(rows, "step long, src_node_id string, relation string, edge_id string, dst_node_id string")
+
+
 @_run
 def file_lookup(g):
     return ops.file_lookup(g)
@@ -180,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_stats, store_stats, latest_runs, search_nodes, search_nodes_escaped, node_details, relation_summary, node_occurrences, edge_details, edge_evidence,
-        projection_nodes, projection_edges, projection_all_files, projection_layout, neighbors_in, neighbors_out, neighbors_relation, reachable, shortest_path,
+        projection_nodes, projection_edges, projection_all_files, projection_layout, neighbors_in, neighbors_out, neighbors_relation, reachable, shortest_path, reachable_deep, shortest_path_far,
         file_lookup, file_symbols, file_nodes, touching_edges, file_routes, workspace_routes, route_status,
     )
 }

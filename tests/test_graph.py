@@ -171,3 +171,29 @@ def test_checks(built):
         service.soul_search()
     assert service.call("graph_search_nodes", query="run")["data"][0]["node_id"] == ids["run"]
     assert set(service.resources()) == {"schema", "workspaces", "routes"} and "file:///fixture" in service.resources()["workspaces"]
+
+
+def test_deep_walks_over_whole_tables(spark, small):
+    """Against a breadth-first search in plain Python."""
+    from factloom.plans import graph_queries as Q
+    from factloom.plans import views
+
+    g = views.graph(spark, small)
+    active = {r.id for r in g.active_nodes.select("id").collect()}
+    out = {}
+    for r in g.active_edges.select("src_node_id", "dst_node_id").collect():
+        if r.dst_node_id in active:
+            out.setdefault(r.src_node_id, set()).add(r.dst_node_id)
+    got = {(r.source, r.node_id): r.depth for r in Q.QUERIES["reachable_deep"](spark, small).collect()}
+    want = {}
+    for source in {s for s, _ in got}:
+        level, d = {source}, 0
+        want[source, source] = 0
+        while level and d < Q.DEEP:
+            d += 1
+            level = {y for x in level for y in out.get(x, ()) if (source, y) not in want}
+            want |= {(source, y): d for y in level}
+    assert got == want and len({s for s, _ in got}) > 1 and max(got.values()) > Q.DEPTH
+    steps = Q.QUERIES["shortest_path_far"](spark, small).orderBy("step").collect()
+    first = steps[0].src_node_id
+    assert len(steps) == want[first, steps[-1].dst_node_id] == max(d for (s, _), d in want.items() if s == first) > Q.DEPTH
