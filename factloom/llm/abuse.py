@@ -1,15 +1,12 @@
 """Scores for abusive, hateful and sexual language by a weighted finite-state grammar.
 
-Three layers, all regular, so that their composition is a finite-state machine:
-spelling (case, accents, look-alike letters, masks, leet, stretched or spaced letters to
-plain words), lexicon (words to the parts a clause can have: insult, degrading word, person
-addressed or spoken of, group, threat), and clauses (weighted patterns over those parts).
-Negated, self-directed, quoted and reported clauses are recognised by patterns of their own
-and take the weight back. A text's score is the largest weight of its clauses plus a tenth
-of the others; an isolated word scores nothing.
-
-Whole texts are read. A clause is looked for in every text that holds the words without which
-it cannot match; these words are derived from its pattern (`needs`), so no clause is missed.
+Three layers, each a finite-state machine: spelling (case, accents, look-alike letters, masks,
+leet, stretched or spaced letters, contractions to plain words), lexicon (a word to the classes it
+belongs to) and clauses (`lexicon.CLAUSES`: machines for insult, threat, target, exclusion,
+negation and reported speech composed into weighted clauses and run as one machine, `grammar`).
+Every word of every text goes through all three; nothing is looked at beforehand to skip a text.
+A text's score is the largest weight of its clauses plus a tenth of the others; an isolated word
+scores nothing.
 
 Defined cases: null, empty and blank texts score 0; texts in other languages score by the
 words they share with the grammar's four; a null or repeated id is a row of its own."""
@@ -20,60 +17,38 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from re import _constants as sre
-from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.grammar import Machine
+from factloom.llm.lexicon import CLAUSES, LEXICON, PARTS
+
 THRESHOLD = 1.0
 #: Spellings that a worker remembers.
 CACHE = 500_000
 
-INSULTS = """
-asshole arsehole bastard bitch clown cretin creep cunt dickhead dimwit douche douchebag dumbass dunce fool halfwit idiot
-imbecile jackass jerk loser moron parasite pig prick retard scum scumbag shithead simpleton slut swine tosser twat
-wanker weasel whore worm fuckwit dipshit dumbfuck motherfucker nitwit numbskull faggot
-arschloch depp drecksack dummkopf idioten mistkerl penner schwachkopf schwein spast trottel versager vollidiot vollpfosten wichser wurm hurensohn
-abruti batard connard connasse cretine debile minable rate salaud salope imbecil cabron estupido gilipollas idiota inutil payaso pendejo tonto
-con encule ordure raclure subnormal mierda escoria
-""".split()
-#: Insults that are ordinary words elsewhere: they count only where the grammar names a person.
-DEGRADING = """
-brainless disgusting dumb fat filthy lazy lying miserable pathetic repulsive shitty spineless stinking stupid ugly useless
-worthless incompetent braindead pauvre sale dreckiger dummer sucio
-""".split()
-DEHUMANISING = """
-animals cockroaches degenerates dirt disease filth garbage liars maggots parasites plague rats savages scum subhuman subhumans thieves
-trash vermin abschaum ungeziefer vermine basura escoria
-""".split()
-GROUPS = """
-women men girls immigrants foreigners migrants refugees blacks whites jews muslims christians gays lesbians gypsies
-indians chinese africans arabs mexicans frauen auslander femmes etrangers mujeres extranjeros kethians ostrani velmari tolvic
-""".split()
-ROLES = "author reviewer maintainer boss manager guy whoever contributor developer coworker colleague lead team intern admin".split()
-OBSCENE = "fuck fvck fck fuk phuck fucking shit porn nudes horny tits cock dick pussy xxx cumshot blowjob".split()
-#: Person addressed, in four languages, and further words whose stretched spellings are made plain, as are those of the lists above.
-PERSON = "you you're youre your yourself dich euch tu toi eres".split()
-CUES = """
-brains naked sex suck moaned ashamed favour favor vermin filth hell zoo gutter hire born throw allowed came belong belongs wipe
-verpiss verpisst fresse klappe schnauze maul solche ojala vete gueule casse degage nadie foutre explicit underwear hope whoever
-kill smash burn burned bleed teeth skull strangle nobody live cam subhuman women
-""".split()
-#: Insults that are everyday words in one of the languages: their stretched spellings stay as they are.
-EVERYDAY = {"rate", "con", "pig", "jerk", "prick", "creep", "fool", "worm", "pate", "sale", "garbage", "dirt", "trash", "animals", "disease", "escoria", "plague", "savages", "live", "nobody"}
-
-_INSULT, _WORD = set(INSULTS), re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,()\"“”„«»]|\S")
-_RARE = (_INSULT | set(OBSCENE) | set(DEHUMANISING) | set(CUES) | set(PERSON)) - EVERYDAY
-_HIDDEN = _INSULT | set(OBSCENE) | {"hell", "suck", "sex", "naked", "fresse"}
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,()\"“”„«»]|\S")
+#: Words whose disguises are undone: masks and leet only those that are rarely meant otherwise.
+_HIDDEN = {*LEXICON["INSULT"], *LEXICON["FUCK"], *LEXICON["INTIMATE"], *LEXICON["SLUR"], *LEXICON["LEWD"], "you", "your", "porn", "shit", "nudes", "horny", "hell", "suck", "sex", "naked", "fresse"}
+_KNOWN = _HIDDEN.union(*(LEXICON[c] for c in ("DEGRADING", "HARM", "BEAST", "YOU", "GROUP", "SEXUAL", "DISGRACE")), ("klappe", "schnauze", "gueule", "mierda", "verpiss"))
 _LEET = str.maketrans("@$!013457+|", "asioieastti")
 _LEET_L = str.maketrans("@$!013457+|", "asloleastti")
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏкмтвнґɡαεορτυνικβ", "aeopcyxijsdhlkmtbhrgaeoptuvikb")
-_STRETCHED = re.compile(r"(.)\1\1")
+_STRETCHED, _RUN, _TWICE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1+")
+_LETTER, _LEET_SIGN, _MASKED = re.compile("[^\\W\\d_]"), re.compile(r"[@$!013457+|]"), re.compile(r"[a-z]+\*+[a-z*]*")
+_DOTTED, _DOTS = re.compile(r"\w(?:[.\-_*·~]\w){2,}"), re.compile(r"(?<=\w)[.\-_*·~](?=\w)")
+_LONGEST = max(map(len, _HIDDEN))
 _EDGES = ".,;:!?\"'()[]{}<>…“”„«»`*#>/\\-–—"
+#: Names of peoples, with a capital and without: endings that make demonyms.
+_NAMED, _DEMONYM = re.compile(r"[^\W\d_]{3,}(?:i|ite|ese|ish|an)s?"), re.compile(r"[^\W\d_]{3,}(?:ians|eans|ani|ari|elis?)")
+_CONTRACTED = {"n't": "not", "'re": "are", "'m": "am", "'ll": "will", "'ve": "have", "'d": "would"}
+_WHOLE = {"won't": ["will", "not"], "can't": ["can", "not"], "dont": ["do", "not"], "youre": ["you", "are"], "gonna": ["going", "to"], "wanna": ["want", "to"], "favor": ["favour"], "ain't": ["is", "not"], "t'es": ["tu", "es"]}
+_ELIDED = {"j": "je", "t": "te", "l": "le", "d": "de", "c": "ce", "qu": "que", "n": "ne", "m": "me", "s": "se"}
+_IS = {"he", "she", "it", "that", "what", "who", "there", "here", "where", "how", "halt"}
 
 
 def _plain(raw: str) -> str:
@@ -87,293 +62,140 @@ def _plain(raw: str) -> str:
 
 def unmasked(word: str) -> str:
     """The lexicon word that a disguised spelling stands for, else the word itself."""
-    if word in _RARE or (word.isalpha() and not _STRETCHED.search(word)):
+    stretched = _STRETCHED.search(word)
+    if word in _KNOWN or (not stretched and (word.isalpha() or len(word) > 2 * _LONGEST)) or not _LETTER.search(word):
         return word
-    joined = re.sub(r"(?<=\w)[.\-_*·~](?=\w)", "", word)
-    if re.fullmatch(r"\w(?:[.\-_*·~]\w){2,}", word) and joined in _HIDDEN:
-        return joined
-    if "*" in word and re.fullmatch(r"[a-z]+\*+[a-z*]*", word):
+    if "*" in word and _MASKED.fullmatch(word):
         shape = re.compile(word.replace("*", "[a-z]"))
-        for known in sorted(_HIDDEN):
-            if shape.fullmatch(known):
-                return known
-        return word
-    for table in (_LEET, _LEET_L):
-        if (t := word.translate(table)) != word and re.search("[a-z]", word):
-            word_l = t
-            for form in (word_l, re.sub(r"(.)\1{2,}", r"\1", word_l), re.sub(r"(.)\1{2,}", r"\1\1", word_l)):
+        return next((known for known in sorted(_HIDDEN) if shape.fullmatch(known)), word)
+    if _DOTTED.fullmatch(word) and (form := _DOTS.sub("", word)) in _HIDDEN:
+        return form
+    if _LEET_SIGN.search(word):
+        for t in (word.translate(_LEET), word.translate(_LEET_L)):
+            for form in (t, *(_RUN.sub(n, t) for n in (r"\1", r"\1\1") if stretched)):
                 if form in _HIDDEN:
                     return form
-    if re.search(r"(.)\1{2,}", word):
-        for form in (re.sub(r"(.)\1{2,}", r"\1", word), re.sub(r"(.)\1{2,}", r"\1\1", word), re.sub(r"(.)\1+", r"\1", word)):
-            if form in _RARE:
+    if stretched:
+        for form in (_RUN.sub(r"\1", word), _RUN.sub(r"\1\1", word), _TWICE.sub(r"\1", word)):
+            if form in _KNOWN:
                 return form
     return word
 
 
-@lru_cache(maxsize=100_000)
-def spelled(raw: str) -> str:
-    """A white-space separated piece as plain words and punctuation marks, each followed by a blank."""
+def _parted(word: str) -> list[str]:
+    """A word with its contractions and elisions written out."""
+    word = word.replace("’", "'")
+    if word in _WHOLE:
+        return _WHOLE[word]
+    if "'" in word:
+        head, tail = word.split("'", 1)
+        for short, full in _CONTRACTED.items():
+            if word.endswith(short):
+                return [word.removesuffix(short), full]
+        if tail == "s":
+            return [head, "is"] if head in _IS else [head, "'s"]
+        if head in _ELIDED:
+            return [_ELIDED[head], tail]
+    return [word]
+
+
+def spelled(raw: str) -> tuple[str, ...]:
+    """A white-space separated piece as plain words and punctuation marks."""
     t = _plain(raw)
+    if t.isalpha() and t.isascii() and not _STRETCHED.search(t) and t not in _WHOLE:
+        return (t,)
     core = t.strip(_EDGES)
     whole = unmasked(core) if core else core
     if whole != core:
         at = t.index(core)
-        marks = lambda s: "".join(c + " " for c in s if c in ".!?;:,()\"“”„«»")
-        return marks(t[:at]) + whole + " " + marks(t[at + len(core) :])
-    if "_" in t or "::" in t:
-        return "# "
-    return "".join(unmasked(w) + " " for w in _WORD.findall(t))
-
-
-def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
-
-
-def _clause(pattern: str) -> re.Pattern:
-    """INS, ADJ, DEH, GRP, ROLE are the lexicon; <n> lets up to n words of the same sentence pass."""
-    for name, words in (("INS", INSULTS), ("ADJ", DEGRADING), ("DEH", DEHUMANISING), ("GRP", GROUPS), ("ROLE", ROLES)):
-        pattern = pattern.replace(name, _any(words) + ("s?" if name in ("INS", "ROLE") else ""))
-    pattern = re.sub(r"<(\d+)>", r"(?:[^\\s.!?\"]+ ){0,\1}?", pattern)
-    return re.compile(rf"(?<=\s){pattern}(?=\s)")
-
-
-_HARM = "(?:kill|stab|strangle|hurt|rape|punch|shoot|beat|slap|smash|cut|burn|break|hang|run|make|drown|choke|kick|crush|skin|gut|bury|hunt|find)"
-_BODY = "(?:teeth|face|skull|fingers|legs|arms|neck|throat|house|home|car|family|kids|head|bones|nose|hands)"
-#: (kind, weight, clause)
-CLAUSES: list[tuple[str, float, re.Pattern]] = [
-    (kind, weight, _clause(p))
-    for kind, weight, p in [
-        # insult + person addressed
-        ("insult", 1.0, r"(?:you|u|ya|you're|youre|your|yourself) <5>INS"),
-        ("insult", 1.0, r"INS (?:, )?<2>(?:like you|you are|you're|keep your|take your)"),
-        ("insult", 1.0, r"(?:like you|you are|you're|hell|off|lost|up) (?:, )?<2>INS"),
-        ("insult", 1.0, r"INS [.,!] <1>that's all you are"),
-        ("insult", 1.0, r"(?:such|what) an? <2>INS"),
-        ("insult", 1.0, r"(?:biggest|most|only an?) <3>INS"),
-        ("insult", 1.0, r"no INS <5>(?:gets|should|is allowed)"),
-        ("insult", 1.0, r"(?:du|ihr) (?:bist|seid)? ?<3>INS"),
-        ("insult", 1.0, r"(?:eres|sois|tu es|t'es|vous etes) <3>INS"),
-        # insult + person spoken of
-        ("insult", 1.0, r"(?:ROLE|whoever wrote this|he|she) <5>(?:is|are|be|was|must be) <5>INS"),
-        ("insult", 1.0, r"keep your <1>ADJ <1>hands off"),
-        ("insult", 1.0, r"<1>ADJ little creature"),
-        ("insult", 1.0, r"more brains than (?:you|your|him|her)"),
-        ("insult", 1.0, r"ashamed <2>to have raised <2>(?:you|like you|him|her)"),
-        ("insult", 1.0, r"ashamed <4>raised"),
-        ("insult", 1.0, r"nobody <2>asked for your <2>opinion"),
-        ("insult", 0.6, r"nobody wants you here"),
-        ("insult", 1.0, r"(?:do|does) (?:us|everyone|everybody|the world) a favou?r and <1>(?:quit|leave|die|never|stop|go|jump)"),
-        ("insult", 1.0, r"did you sleep your way"),
-        ("insult", 1.0, r"(?:crawl back into your hole|stop wasting our air)"),
-        # hostile imperatives, whose target is the reader
-        ("insult", 1.0, r"(?:go to hell|shut up|shut your mouth|shut the|get lost|piss off|(?:fuck|fvck|fck|fuk|phuck) (?:off|you|your)|screw you|drop dead|eat shit)"),
-        ("insult", 1.0, r"(?:verpiss dich|verpisst euch|halt (?:einfach )?(?:die|deine) (?:fresse|klappe|schnauze)|halt's maul|halt <1>maul|leck mich|fick dich)"),
-        ("insult", 1.0, r"(?:vete a la mierda|que te jodan|jodete|(?:callate|largate|muerete) <3>INS|nadie te quiere|vete al infierno)"),
-        ("insult", 1.0, r"(?:ferme (?:ta gueule|la)|ta gueule|casse toi|casse - toi|va te faire (?:voir|foutre)|degage de|personne ne veut de toi|pauvre con|nique ta)"),
-        ("insult", 0.6, r"(?:keiner|niemand) will dich"),
-        # threats
-        ("threat", 1.0, rf"(?:i will|i'll|i am going to|i'm going to|i'm gonna|someone should|somebody should|we will|we'll|they should|i should|i would love to|i want to) <2>{_HARM} (?:you|your <1>{_BODY})"),
-        ("threat", 1.0, rf"{_HARM} (?:you over|you open|your {_BODY}|you until you)"),
-        ("threat", 1.0, r"make <3>you (?:bleed|suffer|cry|pay for)"),
-        ("threat", 1.0, r"i know where (?:you|your <2>) ?(?:live|park|sleep|work|lives?)"),
-        ("threat", 1.0, r"watch your back"),
-        ("threat", 1.0, r"hope (?:you|your|he|she|they) <6>(?:choke|die|dies|rot|burn|drown|suffer|bleed|hit by|get cancer|crash)"),
-        ("threat", 1.0, r"(?:people|persons|folks|devs|those) like (?:you|him|her) <1>should be <2>(?:thrown|kept|locked|shot|hanged|beaten|put|fired into|burned|caged)"),
-        ("threat", 1.0, r"(?:nobody|no one|noone) would miss (?:you|him|her)"),
-        ("threat", 1.0, r"world would be better <1>without (?:you|him|her)"),
-        ("threat", 1.0, r"better without you in it"),
-        ("threat", 1.0, r"(?:kill|hang) yourself"),
-        ("threat", 1.0, r"(?:solche|leute|typen) wie <2>(?:dich|du|euch|sie) <1>(?:sollte|gehoren|musste)"),
-        ("threat", 1.0, r"wie dich sollte man"),
-        ("threat", 1.0, r"(?:gens comme toi|comme toi|comme vous) (?:, )?on devrait"),
-        ("threat", 1.0, r"ojala (?:te|os|se) <1>(?:mueras|mueran|pudras|atropelle|maten|mates|ahogues|parta)"),
-        # hate: a group + degrading predicate or exclusion
-        ("hate", 1.0, r"(?:GRP|people) (?:are|is) (?:all )?(?:an? )?DEH"),
-        ("hate", 1.0, r"are (?:all )?(?:an? )?DEH and <2>(?:must|should)"),
-        ("hate", 1.0, r"(?:GRP|people|from GRP) (?:, )?they are all <1>DEH"),
-        ("hate", 1.0, r"they are all DEH"),
-        ("hate", 1.0, r"must not be allowed to"),
-        ("hate", 1.0, r"(?:GRP|people) are too (?:stupid|dumb|lazy|dirty) to"),
-        ("hate", 1.0, r"back <3>where <3>(?:they|you) <3>came from"),
-        ("hate", 1.0, r"belongs? in the (?:gutter|zoo|kitchen|jungle|sewer|camps?|trash|cage)"),
-        ("hate", 1.0, r"never hire <3>(?:: )?born"),
-        ("hate", 1.0, r"born (?:lazy|dirty|stupid|liars|criminals)"),
-        ("hate", 1.0, r"throw <3>(?:all|every|the) <4>out of the (?:company|country|team|office)"),
-        ("hate", 1.0, r"(?:GRP|people) \? wipe them out"),
-        ("hate", 1.0, r"wipe (?:them|those people|them all) out"),
-        ("hate", 1.0, r"subhuman"),
-        ("hate", 1.0, r"(?:don't|do not|never) merge code from <2>(?:GRP|people)"),
-        # sexual
-        ("sexual", 1.0, r"send (?:me )?(?:your |some )?nudes"),
-        ("sexual", 1.0, r"(?:want|need|like) you naked"),
-        ("sexual", 1.0, r"naked (?:on|in) my (?:bed|lap|desk|chair|office)"),
-        ("sexual", 1.0, r"(?:xxx|porn|nude|sex) <1>cams?"),
-        ("sexual", 1.0, r"explicit sex"),
-        ("sexual", 1.0, r"horny <1>(?:singles|girls|women|men|teens|milfs)"),
-        ("sexual", 1.0, r"strip live"),
-        ("sexual", 1.0, r"(?:free )?porn (?:clips|videos|site|pics)"),
-        ("sexual", 1.0, r"(?:had|have|having) sex"),
-        ("sexual", 1.0, r"nice (?:tits|ass|boobs)"),
-        ("sexual", 1.0, r"moaned <3>(?:as|when|while)"),
-        ("sexual", 1.0, r"took off (?:her|his) (?:shirt|skirt|underwear|pants|bra|dress|clothes)"),
-        ("sexual", 1.0, r"come over and suck"),
-        ("sexual", 1.0, r"suck (?:it|my|on)(?= [,.]| then)"),
-    ]
-]
-#: Clauses that take the weight of others back: quotation, report, self-reference, negation.
-_SENTENCE = re.compile(r"[.!?]")
-_REPORTED = re.compile(
-    r"(?<=\s)(?:moderation guide|filter must|words the|as words|code of conduct|calling (?:somebody|someone|people)|gets you banned|for example|e\.g"
-    r"|assert\S*|score \(|label|labels|abusive|die worter|filtertest|als beispiele|del filtro|como ejemplo|de la lista|du filtre|comme exemple|blocklist|deny list|test case|fixture|quoted|must flag)(?=\s)"
-)
-_SELF = re.compile(r"(?<=\s)(?:i was|i am|i'm|i feel|i felt like|ich bin|ich war|ich|je suis|je fais|j'ai|quel|fui|soy|yo) (?:such )?(?:an? |ein |un )?(?:\S+ )?$")
-_NEGATED = re.compile(r"(?<=\s)(?:not|never|isn't|aren't|wasn't|don't (?:think|say|call)|nobody (?:is|was)|kein|keine|nicht|pas) (?:saying |calling |an? |that |ein |un )*$")
-#: What stands around "get lost" and "drop dead" when somebody is told so: edits get lost and sweeps drop dead rows too.
-_TOLD_AHEAD = re.compile(r"(?:^|[^\w\s'’]|@ ?all) *(?:(?:oh|now|just|please|honestly|go and|you (?:can|should|could)(?: all)?) )*$")
-_TOLD_AFTER = re.compile(rf" (?:$|[.!?,:;()\"“”„«»] |(?:you|and|already) |{_any(INSULTS)}s? )")
-
-
-def clauses(words: str, among: list[tuple[str, float, re.Pattern]] = CLAUSES) -> Iterator[tuple[str, float, str]]:
-    """(kind, weight, words) of the clauses of a text of plain words."""
-    for kind, weight, pattern in among:
-        for m in pattern.finditer(words):
-            start = max(words.rfind(mark, 0, m.start()) for mark in ".!?") + 1
-            end = (x := _SENTENCE.search(words, m.end())) and x.start() or len(words)
-            ahead, inside = words[start : m.start()], m[0]
-            around = f" {ahead[-120:]}{inside}{words[m.end() : min(end, m.end() + 80)]} "
-            quoted = words[: m.start()].rstrip(" ").endswith(('"', "“", "„", "«")) and re.match(r" ?[\"”“»]", words[m.end() :])
-            if quoted or _REPORTED.search(around):
-                continue
-            if kind == "insult" and not re.search(r"\b(?:you|your|du|tu|eres|toi|dich)\b", inside) and (_SELF.search(f" {ahead}") or _SELF.search(f" {ahead}{inside.rsplit(' ', 1)[0]} ")):
-                continue
-            if kind == "insult" and _NEGATED.search(f" {ahead}"):
-                continue
-            if inside in ("get lost", "drop dead") and not (_TOLD_AHEAD.search(ahead.strip(" ") + " ") and _TOLD_AFTER.match(words, m.end())):
-                continue
-            yield kind, weight, inside
-
-
-def _strings(tree) -> set[str]:
-    """What a pattern can match; \\0 stands for signs that are not known, without blanks."""
-    out = {""}
-    for op, arg in tree:
-        if op is sre.LITERAL:
-            own = {chr(arg)}
-        elif op is sre.IN:
-            own = {chr(x) for _, x in arg} if all(o is sre.LITERAL for o, _ in arg) else {"\0"}
-        elif op is sre.BRANCH:
-            own = set().union(*map(_strings, arg[1]))
-        elif op is sre.SUBPATTERN:
-            own = _strings(arg[3])
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-            own = _strings(arg[2])
-            assert arg[1] == 1 or own <= {"\0", "\0 "}, "only unknown words may repeat"
-            own = own | {""} if arg[0] == 0 else own
-        elif op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT):
-            own = {""}
-        else:
-            raise ValueError(f"{op} in a clause")
-        out = {a + b for a in out for b in own}
-    return out
-
-
-def needs(pattern: re.Pattern) -> list[frozenset[str]]:
-    """Sets of words: whatever the pattern matches has a word of each.
-
-    The pattern is cut where a word surely ends; every string that a cut can be gives its longest known word."""
-    out, own = set(), {""}
-
-    def cut() -> None:
-        words = [[w for w in x.split() if "\0" not in w] for x in own]
-        if all(words):
-            out.add(frozenset(max(w, key=len) for w in words))
-
-    for item in _parser.parse(pattern.pattern):
-        own = {a + b for a in own for b in _strings([item])}
-        if all(x == "" or x[-1] == " " for x in own):
-            cut()
-            own = {""}
-    cut()
-    return sorted(out, key=sorted)
-
-
-class _Pieces(dict):
-    """The needs of clauses that a white-space separated piece meets, as bits; bit 0: a single letter (part of a spaced word?)."""
-
-    def __init__(self):
-        sets = [needs(pattern) for _, _, pattern in CLAUSES]
-        bits = {s: 2 << i for i, s in enumerate(dict.fromkeys(x for xs in sets for x in xs))}
-        self.clauses = [(sum(bits[x] for x in xs), c) for xs, c in zip(sets, CLAUSES)]
-        self.words: dict[str, int] = {}
-        for words, bit in bits.items():
-            for w in words:
-                self.words[w] = self.words.get(w, 0) | bit
-
-    def of(self, words: str) -> int:
-        out = 0
-        for w in words.split():
-            out |= self.words.get(w, 0)
-        return out
-
-    def __missing__(self, raw: str) -> int:
-        core = raw.lower().strip(_EDGES)
-        out = self.of(spelled(raw))
-        if len(core) == 1 and core.isalpha():
-            out |= 1
+        marks = [c for c in t[:at] if c in ".!?;:,()\"“”„«»"], [c for c in t[at + len(core) :] if c in ".!?;:,()\"“”„«»"]
+        return (*marks[0], whole, *marks[1])
+    if "_" in t.strip("_*`") or "::" in t:
+        return ("_name",)  # code
+    return tuple([x for w in _WORD.findall(t) if w not in "*_`#~>" for x in _parted(unmasked(w))])
+
+
+class Reader(dict):
+    """Signs of the machine for white-space separated pieces."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.mark = {m: machine.symbol([c]) for c, ms in (("STOP", ".!?"), ("COMMA", ",;"), ("QUOTE", "\"“”„«»")) for m in ms}
+        self.other, self.end = machine.symbol(["MARK"]), machine.symbol(["END"])
+        self.begin = machine.symbol(["BEGIN"])
+        self.plain, self.letter = machine.symbol(["WORD"]), machine.symbol(["WORD", "LETTER"])
+        self.words: dict[str, str] = {}
+        self._letters: tuple[int, re.Pattern] = (0, re.compile("(?!)"))
+
+    def sign(self, w: str, name: bool = False) -> str:
+        """name: it is written with a capital."""
+        own = self.machine.classes.get(w)
+        if own is None:
+            if not w[0].isalnum() and w not in ("'s", "_name"):
+                return self.mark.get(w, self.other)
+            if not name and (len(w) < 6 or w[-1] not in "si"):
+                return self.letter if len(w) == 1 and w.isalpha() else self.plain
+            people = {"DEMONYM"} if (_NAMED if name else _DEMONYM).fullmatch(w) else set()
+            return self.machine.symbol({"WORD", *people, *({"NAME"} if name else ()), *({"LETTER"} if len(w) == 1 and w.isalpha() else ())})
+        if (known := self.words.get(w)) is None:
+            known = self.words[w] = self.machine.symbol(own | {"WORD"} | ({"LETTER"} if len(w) == 1 and w.isalpha() else set()))
+        return known
+
+    def __missing__(self, raw: str) -> str:
+        core = raw.strip(_EDGES)
+        name = core[:1].isupper() and core[1:].islower()
+        out = "".join([self.sign(w, name) for w in spelled(raw)])
         if len(self) >= CACHE:
             self.clear()
         self[raw] = out
         return out
 
+    def letters(self) -> re.Pattern:
+        """Four signs of single letters or more."""
+        known = len(self.machine.symbols)
+        if self._letters[0] != known:
+            own = "".join(s for s, c in self.machine.meaning.items() if "LETTER" in c)
+            self._letters = known, re.compile(f"[{own}]{{4,}}" if own else "(?!)")
+        return self._letters[1]
+
+    def signs(self, text: str) -> str:
+        raw = text.split()
+        out = "".join(map(self.__getitem__, raw))
+        if self.letters().search(out):
+            out = "".join(map(self.__getitem__, joined(raw)))
+        return self.begin + out + self.end
+
+
+def joined(raw: list[str]) -> list[str]:
+    """Pieces with the words that are spelled with blanks between their letters put together."""
+    out, run = [], []
+    for t in [*raw, ""]:
+        core = t.strip(_EDGES)
+        if len(core) == 1 and core.isalpha():
+            run.append(t)
+            continue
+        letters, at = "".join(_plain(x.strip(_EDGES)) for x in run), 0
+        while at < len(run):
+            end = next((b for b in range(len(run), at + 2, -1) if len(letters) == len(run) >= 4 and letters[at:b] in _HIDDEN), None)
+            out.append(letters[at:end] if end else run[at])
+            at = end or at + 1
+        run = []
+        out.append(t)
+    return out[:-1]
+
 
 class Scorer:
     def __init__(self):
-        self.pieces = _Pieces()
-
-    def _spaced(self, raw: list[str]) -> dict[int, str]:
-        """Words spelled with blanks between their letters: the word at the first letter's place, nothing at the others."""
-        marks = self.pieces
-        spaced: dict[int, str] = {}
-        run: list[int] = []
-        for i in [*(i for i, t in enumerate(raw) if marks[t] & 1), -9]:
-            if run and i != run[-1] + 1:
-                if len(run) >= 4:
-                    letters = "".join(_plain(raw[j]).strip(_EDGES) for j in run)
-                    for a in range(len(run) - 2):
-                        for b in range(len(run), a + 2, -1):
-                            if letters[a:b] in _HIDDEN and len(letters) == len(run):
-                                spaced |= {j: "" for j in run[a:b]} | {run[a]: letters[a:b]}
-                                break
-                run = []
-            run.append(i)
-        return spaced
-
-    def composed(self, raw: list[str], spaced: dict[int, str]) -> str:
-        if not spaced:
-            return " " + "".join(map(spelled, raw))
-        return " " + "".join((spaced[j] + " " if spaced[j] else "") if j in spaced else spelled(t) for j, t in enumerate(raw))
-
-    def _found(self, raw: list[str]) -> Iterator[tuple[str, float, str]]:
-        marks, met = self.pieces, 0
-        for t in set(raw):
-            met |= marks[t]
-        spaced = self._spaced(raw) if met & 1 else {}
-        for w in spaced.values():
-            met |= marks.of(w)
-        open_to = [c for need, c in marks.clauses if need & met == need]
-        if open_to:
-            yield from clauses(self.composed(raw, spaced), open_to)
+        self.machine = Machine(LEXICON, PARTS, CLAUSES)
+        self.reader = Reader(self.machine)
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
         """Score and kinds of a text."""
-        if not text:
-            return 0.0, []
-        found = list(self._found(text.split()))
+        found = self.machine.read(self.reader.signs(text)) if text else []
         if not found:
             return 0.0, []
-        weights = sorted((w for _, w, _ in found), reverse=True)
-        return round(weights[0] + 0.1 * sum(weights[1:]), 3), sorted({k for k, _, _ in found})
+        weights = sorted((w for _, w in found), reverse=True)
+        return round(weights[0] + 0.1 * sum(weights[1:]), 3), sorted({k for k, _ in found})
 
 
 @lru_cache(maxsize=1)
