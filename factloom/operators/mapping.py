@@ -16,6 +16,7 @@ from factloom.functions import ranges
 SYMBOL_KINDS = (
     "File Module Namespace Package Class Method Property Field Constructor Enum Interface Function Variable Constant String Number Boolean Array Object Key Null EnumMember Struct Event Operator TypeParameter"
 ).split()
+SNAKE = {"EnumMember": "enum_member", "TypeParameter": "type_parameter", "Namespace": "module"}
 #: Kinds that references can point at, and kinds that can call, by provider.
 REFERENCE_TARGETS = {
     "rust": "function method struct enum enum_member interface field constant type_alias type_parameter module".split(),
@@ -31,8 +32,7 @@ def kind_name(number: Column) -> Column:
 
 def normal_kind(number: Column) -> Column:
     """snake_case kind; namespaces are modules, unknown numbers objects."""
-    snake = {"EnumMember": "enum_member", "TypeParameter": "type_parameter", "Namespace": "module"}
-    names = F.array(*[F.lit(snake.get(k, k.lower())) for k in SYMBOL_KINDS])
+    names = F.array(*[F.lit(SNAKE.get(k, k.lower())) for k in SYMBOL_KINDS])
     return F.coalesce(F.try_element_at(names, F.when(number > 0, number).cast("int")), F.lit("object"))
 
 

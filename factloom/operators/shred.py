@@ -1,8 +1,10 @@
 """Deeply nested JSON to related flat tables, by adjacency-table shredding.
 
-Every JSON value becomes a row (document, node, parent, label, ordinal, kind, scalar);
-object rows are joined with their scalar children and pivoted into entity tables.
-The reader keeps its own stack, so depth is bounded by memory only.
+Every JSON value becomes a row (document, node, parent, label, ordinal, kind, scalar). Rows also
+name the record they belong to and the path from it, so that object rows meet their scalar
+children in one grouping, which pivots them into entity tables. A text is decoded in C and
+walked once with a stack of its own; what nests deeper than the decoder can is read by `nodes_of`,
+so depth is bounded by memory only. Subtrees below labels that an entity does not use are not stored.
 
 Defined cases: text that is null, blank or not valid JSON has no nodes; of a label that
 an object repeats the last value holds; JSON text inside a JSON string is read as the
@@ -20,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import materialize
-
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?", re.ASCII)
 _WORDS = (("true", "true"), ("false", "false"), ("null", None))
@@ -96,42 +96,108 @@ def nodes_of(text: str) -> list[Node]:
             i = skip(i + 1)
 
 
-def response_nodes(text: str | None, wrappers: tuple[str, ...]) -> tuple[list[Node], int]:
-    """Nodes of a response and the node its records begin at; none if it is not valid.
+class _Object(list):
+    """An object as pairs."""
+
+
+class _Number(str):
+    """A number as it is spelled."""
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+
+
+def _deep(text: str):
+    """The value of a text that nests too deep for the decoder."""
+    made: list = []
+    for _, parent, label, _, kind, scalar in nodes_of(text):
+        v = _Object() if kind == "object" else [] if kind == "array" else _Number(scalar) if kind == "number" else scalar == "true" if kind == "boolean" else scalar
+        made.append(v)
+        if parent is not None:
+            made[parent].append((label, v) if type(made[parent]) is _Object else v)
+    return made[0]
+
+
+def value_of(text: str):
+    """The value a JSON text spells: objects are lists of pairs, numbers keep their spelling; ValueError if it is not valid."""
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _deep(text)
+
+
+def response(text: str | None, wrappers: tuple[str, ...]) -> tuple[object, object] | None:
+    """The value of a response and the part its records begin at; None if it is not valid.
 
     The beginning is looked for under wrapper labels and in strings that spell JSON."""
     while text is not None:
         try:
-            out = nodes_of(text.lstrip("\ufeff"))
+            whole = top = value_of(text.lstrip("\ufeff"))
         except ValueError:
             break
-        top, inner = 0, {}
-        for node, parent, label, _, kind, _ in out:
-            if label in wrappers and kind != "dropped":
-                inner.setdefault((parent, label), node)
-        while out[top][4] == "object" and (under := [inner[top, w] for w in wrappers if (top, w) in inner]):
+        while type(top) is _Object and (under := [v for w in wrappers for k, v in reversed(top) if k == w]):
             top = under[0]
-        if out[top][4] != "string":
-            return out, top
-        text = out[top][5]
-    return [], 0
-
-
-def places_of(nodes: list[Node], top: int, nest: str) -> dict[int, str]:
-    """Positions, joined by /, of the records that are reached from the top through lists labelled nest only."""
-    places: dict[int, str] = {}
-    lists: dict[int, str] = {}
-    for node, parent, label, ordinal, kind, _ in nodes:
-        if node == top:
-            if kind == "object":
-                places[node] = "0"
-            elif kind == "array":
-                lists[node] = ""
-        elif kind == "object" and parent in lists:
-            places[node] = f"{lists[parent]}{ordinal}"
-        elif kind == "array" and label == nest and parent in places:
-            lists[node] = f"{places[parent]}/"
-    return places
+        if type(top) is not str:
+            return whole, top
+        text = top
+    return None
+
+
+def _kind(v) -> str:
+    return "object" if type(v) is _Object else "array" if type(v) is list else "string" if type(v) is str else "number" if type(v) is _Number else "null" if v is None else "boolean"
+
+
+def walked(whole, top, nest: str, only: frozenset[str] | None = None) -> Iterator[tuple]:
+    """(node, parent, label, ordinal, kind, scalar, place, record, path) of all values, in document order.
+
+    place: positions, joined by /, of the records that are reached from the top through lists
+    labelled nest only. record: the record a value belongs to (a record to itself). path: labels from it
+    to the value, joined by /, in which / is ~1, ~ is ~0 and a list's element ~2. With
+    only, values in a record are left out if a label on their path is not among these."""
+    n = 0
+    # a frame: iterator over (label, value), node, record, path, place of the record or of the list's records
+    frames: list[tuple] = [(iter([(None, whole)]), None, None, None, None)]
+    counts = [0]
+    while frames:
+        inner, parent, record, path, at = frames[-1]
+        for label, v in inner:
+            ordinal = counts[-1]
+            counts[-1] += 1
+            if record is not None and only is not None and label is not None and label not in only:
+                continue
+            kind = type(v)
+            node, n = n, n + 1
+            if kind is str or kind is _Number or v is None or kind is bool:
+                own = None if record is None else f"{path}~2" if label is None else path + label if label.isalnum() else path + label.replace("~", "~0").replace("/", "~1")
+                yield node, parent, label, ordinal, _kind(v), ("true" if v else "false") if kind is bool else v, None, record, own
+                continue
+            own_record, own_path, place, below = record, None if record is None else f"{path}~2" if label is None else path + label.replace("~", "~0").replace("/", "~1"), None, None
+            if v is top and kind is _Object:
+                place = "0"
+            elif v is top:
+                below = ""
+            elif kind is _Object and label is None and at is not None:
+                place = f"{at}{ordinal}"
+            elif kind is list and label == nest and at is not None:
+                below = f"{at}/"
+            if place is not None:
+                own_record, own_path, below = node, "", place
+            yield node, parent, label, ordinal, "object" if kind is _Object else "array", None, place, own_record, own_path
+            if kind is _Object:
+                if len(v) > 1:
+                    v = list({k: x for k, x in v}.items()) if len({k for k, _ in v}) < len(v) else v
+                frames.append((iter(v), node, own_record, f"{own_path}/" if own_path else own_path, below if place is not None else None))
+            else:
+                frames.append(((((None, x) for x in v)), node, own_record, f"{own_path}/" if own_path else own_path, below))
+            counts.append(0)
+            break
+        else:
+            frames.pop()
+            counts.pop()
 
 
 def _clean(text: str | None) -> str | None:
@@ -141,58 +207,63 @@ def _clean(text: str | None) -> str | None:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-ADJACENCY = "node int, parent int, label string, ordinal int, kind string, scalar string, place string"
-
+ADJACENCY = "node int, parent int, label string, ordinal int, kind string, scalar string, place string, record int, path string"
+#: Rows of one batch.
+HELD = 50_000
 
-def adjacency(df: DataFrame, key: str, text: str, nest: str, wrappers: tuple[str, ...]) -> DataFrame:
-    """key, node, parent, label, ordinal, kind, scalar of all valid texts; of repeated keys the largest text holds.
 
-    place is set for the objects that are records: the positions on the way to it."""
+def adjacency(df: DataFrame, key: str, text: str, nest: str, wrappers: tuple[str, ...], only: list[str] | None = None) -> DataFrame:
+    """key and the rows of `walked` of all valid texts; of repeated keys the largest text holds."""
     rows = df.select(key, text).where(F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias("text"))
+    kept = None if only is None else frozenset(only) | {nest}
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "node", "parent", "label", "ordinal", "kind", "scalar", "place"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        names = [key, "node", "parent", "label", "ordinal", "kind", "scalar", "place", "record", "path"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        keys: list[int] = []
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*held)) if held else [()] * 8
+            columns = [keys, *zip(*held)] if held else [()] * 10
+            for i in (3, 6, 9):
+                columns[i] = list(map(_clean, columns[i]))
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            keys.clear()
             held.clear()
             return out
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, top = response_nodes(t, wrappers)
-                places = places_of(found, top, nest)
-                for node, parent, label, ordinal, kind, scalar in found:
-                    if kind != "dropped":
-                        held.append((k, node, parent, _clean(label), ordinal, kind, _clean(scalar), places.get(node)))
-                        if len(held) >= 50_000:
-                            yield flush()
+                if (found := response(t, wrappers)) is None:
+                    continue
+                for row in walked(*found, nest, kept):
+                    held.append(row)
+                    keys.append(k)
+                    if len(held) >= HELD:
+                        yield flush()
             if held:
                 yield flush()
 
     return rows.mapInArrow(shred, f"{key} long, {ADJACENCY}")
 
 
-def entities(nodes: DataFrame, key: str, labels: list[str]) -> DataFrame:
-    """Objects with their scalar children pivoted: key, node, parent, label, place, and each label's text."""
-    scalars = nodes.where(F.col("label").isin(labels) & F.col("scalar").isNotNull())
-    wide = scalars.groupBy(key, "parent").agg(*[F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(x) for x in labels])
-    objects = nodes.where("kind = 'object'").select(key, "node", "parent", "label", "place")
-    return objects.join(wide.withColumnRenamed("parent", "node"), [key, "node"], "left")
+def entities(nodes: DataFrame, key: str, paths: dict[str, str]) -> DataFrame:
+    """Records with scalars below them pivoted: key, place, and for each column of paths the text at its path.
+
+    A record and its scalars are grouped, not joined: they come from one task, so nearly all of
+    them meet before the shuffle."""
+    own = nodes.where(F.col("place").isNotNull() | (F.col("path").isin(list(paths.values())) & F.col("scalar").isNotNull()))
+    wide = own.groupBy(key, "record").agg(F.max("place").alias("place"), *[F.max(F.when(F.col("path") == p, F.col("scalar"))).alias(c) for c, p in paths.items()])
+    return wide.drop("record")
 
 
 def symbols(payloads: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, parent_pos, name, kind, detail, start_line of every symbol of document-symbol responses."""
-    nodes = materialize(adjacency(payloads, key, text, "children", ("result", "document_symbol")), "nodes")
-    ent = entities(nodes.where("label is null or label not in ('range', 'end')"), key, ["name", "kind", "detail"]).where("place is not null")
-    # the chain symbol -> selectionRange -> start -> line, each step a parent link
-    chosen = nodes.where("label = 'selectionRange' and kind = 'object'").select(key, F.col("node").alias("sel"), F.col("parent").alias("node"))
-    starts = nodes.where("label = 'start' and kind = 'object'").select(key, F.col("node").alias("start"), F.col("parent").alias("sel"))
-    lines = nodes.where("label = 'line' and scalar is not null and kind in ('number', 'string')").select(key, F.col("parent").alias("start"), F.expr("try_cast(trim(scalar) as double)").alias("line"))
-    line = chosen.join(starts, [key, "sel"]).join(lines, [key, "start"]).groupBy(key, "node").agg(F.max("line").alias("line"))
-    out = ent.join(line, [key, "node"], "left")
+    paths = {"name": "name", "kind": "kind", "detail": "detail", "line": "selectionRange/start/line"}
+    nodes = adjacency(payloads, key, text, "children", ("result", "document_symbol"), ["name", "kind", "detail", "selectionRange", "start", "line"])
+    # true and false are no lines
+    nodes = nodes.where(~((F.col("kind") == "boolean") & (F.col("path") == paths["line"])))
+    out = entities(nodes, key, paths)
     above = F.when(F.instr("place", "/") > 0, F.regexp_replace("place", "/[0-9]+$", ""))
-    return out.select(key, F.col("place").alias("pos"), above.alias("parent_pos"), F.coalesce("name", F.lit("")).alias("name"), "kind", "detail", F.coalesce(F.col("line").cast("long"), F.lit(-1)).alias("start_line"))
+    line = F.expr("try_cast(trim(line) as double)").cast("long")
+    return out.select(key, F.col("place").alias("pos"), above.alias("parent_pos"), F.coalesce("name", F.lit("")).alias("name"), "kind", "detail", F.coalesce(line, F.lit(-1)).alias("start_line"))

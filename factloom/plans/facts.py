@@ -155,6 +155,25 @@ found as (select table_name, row_id, field_name, run, 'missing' state from hits
  union all select table_name, row_id, field_name, run, 'late' from hits where f > run
  union all select table_name, row_id, field_name, run, 'closed' from hits where e <= run)"""
 
+_TEXT = lambda path: f"case when json_type(o, '{path}') not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(o, '{path}') end"
+_LINE = "$.selectionRange.start.line"
+#: Recursion over JSON: first through wrappers and strings that spell JSON, then from list to list.
+SYMBOLS = f"""opened(payload_id, j) as (
+ select payload_id, case when json_valid(ltrim(t, chr(65279))) then cast(ltrim(t, chr(65279)) as json) end
+  from (select payload_id, max(raw_json) t from symbol_payloads where payload_id is not null group by 1)
+ union all select payload_id, case when json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then cast(j ->> '$' as json) end
+  when json_type(j, '$.result') is not null then j -> '$.result' else j -> '$.document_symbol' end
+  from opened where json_type(j) = 'VARCHAR' or (json_type(j) = 'OBJECT' and (json_type(j, '$.result') is not null or json_type(j, '$.document_symbol') is not null))),
+tops as (select payload_id, case when json_type(j) = 'ARRAY' then j else json_array(j) end l from opened
+ where json_type(j) = 'ARRAY' or (json_type(j) = 'OBJECT' and json_type(j, '$.result') is null and json_type(j, '$.document_symbol') is null)),
+syms(payload_id, parent_pos, pos, parent_name, o) as (
+ select payload_id, cast(null as varchar), cast(i as varchar), cast(null as varchar), l -> ('$[' || i || ']') from (select payload_id, l, unnest(range(cast(json_array_length(l) as bigint))) i from tops) where json_type(l, '$[' || i || ']') = 'OBJECT'
+ union all select payload_id, pos, pos || '/' || i, q, c -> ('$[' || i || ']') from (
+  select payload_id, pos, concat_ws('::', parent_name, coalesce({_TEXT("$.name")}, '')) q, o -> '$.children' c, unnest(range(cast(json_array_length(o, '$.children') as bigint))) i from syms where json_type(o, '$.children') = 'ARRAY')
+  where json_type(c, '$[' || i || ']') = 'OBJECT'),
+symbols as (select payload_id, pos, parent_pos, coalesce({_TEXT("$.name")}, '') as name, {_TEXT("$.kind")} kind, {_TEXT("$.detail")} detail, concat_ws('::', parent_name, coalesce({_TEXT("$.name")}, '')) qualified_name,
+ coalesce(cast(trunc(try_cast(trim(case when json_type(o, '{_LINE}') not in ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN') then json_extract_string(o, '{_LINE}') end) as double)) as bigint), -1) start_line from syms)"""
+
 _EDGES = "e as (select edge_row_id, min(dst_node_id) dst_node_id, min(relation) relation, min(run_id) run_id from route_edges where edge_row_id is not null group by 1)"
 
 SQL = {
@@ -178,4 +197,6 @@ SQL = {
     "p6_counts": f"""with {_EDGES}, s as (select *, lag(run_id) over w p, row_number() over w n from e window w as (partition by dst_node_id, relation order by edge_row_id))
  select dst_node_id, relation, count(*) incoming_edge_count, min(edge_row_id) first_edge_row_id, max(edge_row_id) last_edge_row_id,
   cast(count(*) filter (where n > 1 and run_id is distinct from p) as bigint) n_run_switches from s group by all""",
+    "p7_found": f"with recursive {SYMBOLS} select distinct payload_id, pos, name, start_line from symbols",
+    "p7_symbols": f"with recursive {SYMBOLS} select payload_id, pos, parent_pos, name, kind, detail, start_line from symbols",
 }

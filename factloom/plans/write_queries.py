@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import ids, text
 from factloom.operators import extraction, lookups, mapping, merge, staleness
-from factloom.plans import views
+from factloom.plans import facts, views
 from factloom.session import table
 
 #: Runs up to this one count as stored already, later ones as the batch.
@@ -344,4 +344,7 @@ SQL = {
     "completed_hashes": f"{views.sql('files', 'routes')} select r.workspace_id, r.route, r.provider, r.scope_key, f.content_hash from routes r join files f on f.workspace_id = r.workspace_id and f.uri = r.scope_key where r.scope = 'file' and r.last_status = 'complete' and r.last_complete_run_id is not null",
     "symbol_rows": f"""with s as (select distinct {_id("workspace_id", '"language"', "coalesce(parent_symbol_key, 'file:' || file_uri)")} b, {_id("workspace_id", '"language"', "symbol_key")} i, workspace_id from extracted_symbols)
  select distinct {_id("workspace_id", "b", "i", "'contains'", "'document-symbol'")} id, b src_node_id, i dst_node_id from s""",
+    "flatten_symbols": f"""with recursive {facts.SYMBOLS}, files_ as (select payload_id, max(file_uri) uri from symbol_payloads group by 1)
+ select s.payload_id, uri, pos, "name", coalesce(case when try_cast(kind as int) > 0 then {[mapping.SNAKE.get(k, k.lower()) for k in mapping.SYMBOL_KINDS]}[try_cast(kind as int)] end, 'object') kind,
+  qualified_name, parent_pos container, detail, start_line from symbols s join files_ using (payload_id)""",
 }

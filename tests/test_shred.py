@@ -11,7 +11,7 @@ values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allo
 
 def rebuilt(nodes):
     made = {}
-    for node, parent, label, _, kind, scalar in nodes:
+    for node, parent, label, _, kind, scalar, *_ in nodes:
         v = {"object": {}, "array": []}.get(kind)
         if kind == "string":
             v = scalar
@@ -26,18 +26,36 @@ def rebuilt(nodes):
 @settings(max_examples=200, deadline=None)
 @given(values, st.sampled_from([None, 1]))
 def test_round_trip(v, indent):
-    assert rebuilt(shred.nodes_of(json.dumps(v, indent=indent))) == v
+    text = json.dumps(v, indent=indent)
+    assert rebuilt(shred.nodes_of(text)) == v
+    for value in (shred.value_of(text), shred._deep(text)):
+        rows = list(shred.walked(value, value, "children"))
+        assert rebuilt(rows) == v and [r[0] for r in rows] == list(range(len(rows)))
+        assert [r[:6] for r in rows] == shred.nodes_of(text)
 
 
 @pytest.mark.parametrize("text", ["", " ", "{", "[1,]", '{"a":1,}', "[1 2]", '{"a" 1}', "nul", "01", '"a', "[1]x", "{1:2}", "[,1]", "-", "[", '{"a":}'])
 def test_invalid(text):
     with pytest.raises(ValueError):
         shred.nodes_of(text)
+    assert shred.response(text, ()) is None
 
 
 def test_deep():
     n = 50_000
-    assert len(shred.nodes_of("[" * n + "]" * n)) == n
+    text = "[" * n + "]" * n
+    assert len(shred.nodes_of(text)) == n
+    whole, top = shred.response(text, ())
+    assert sum(1 for _ in shred.walked(whole, top, "children")) == n
+    del whole, top
+
+
+def test_paths_and_pruning():
+    v = shred.value_of('{"name": "a", "x/y": [{"~": 1}], "range": {"start": {"line": 1}}, "children": [{"name": "b", "sel.start": 2}]}')
+    rows = {(r[7], r[8]): r[5] for r in shred.walked(v, v, "children") if r[5] is not None}
+    assert rows == {(0, "name"): "a", (0, "x~1y/~2/~0"): "1", (0, "range/start/line"): "1", (9, "name"): "b", (9, "sel.start"): "2"}
+    kept = list(shred.walked(v, v, "children", frozenset({"name", "children"})))
+    assert [(r[5], r[6]) for r in kept] == [(None, "0"), ("a", None), (None, None), (None, "0/0"), ("b", None)]
 
 
 def test_symbols(spark):
