@@ -36,6 +36,9 @@ MAYBE, BUCKET = 0.7, 50_000
 #: Bits of a set's parities, a power of two.
 CELLS = 2048
 
+#: Signs of text that a share is weighed against, and tokens whose codes a worker remembers.
+ENOUGH, KNOWN_TOKENS = 40, 300_000
+
 #: Words that keep their identity when a token is masked; at most 300 in all with the signs below.
 KEYWORDS = """
 as async await bool break case catch char class const continue crate def default delete do double dyn elif else enum export extern
@@ -48,14 +51,16 @@ _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CODE = {w: i + 4 for i, w in enumerate(KEYWORDS)} | {s: i + 300 for i, s in enumerate(_SIGNS)}
 _IDENT, _NUM, _STR, _ELSE = 0, 1, 2, 3
 _TOKEN = re.compile(
-    r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?m:^[ \t]*#(?![!\[])[^\n]*)|<!--.*?(?:-->|\Z))"
-    r"|(?P<s>'''.*?(?:'''|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
-    r"|(?P<i>[^\W\d]\w*)|(?P<n>\d[\w.]*)|(?P<p>[^\w\s])",
+    r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?m:^[ \t]*#(?![!\[])[^\n]*)|<!--.*?(?:-->|\Z)"
+    r"|'''.*?(?:'''|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+    r"|[^\W\d]\w*|\d[\w.]*|[^\w\s]",
     re.S,
 )
+#: Codes inside this module: a comment, and an identifier with digits.
+_COMMENT, _IDENT_NO = -1, 511
 #: Openings of files that tools wrote, in several languages.
 GENERATED = re.compile(
-    r"@generated|auto-?\s?generated|code generated by|generated by (?:the |a )?[\w-]+|machine[- ]generated from|file is generated|was generated|generated from|generated code\s*[.:-]"
+    r"@generated|auto-?\s?generated|code generated by|generated by (?:the |a )?[\w-]+|machine[- ]generated from|(?:file|code|module|page|source) (?:is|was) (?:auto[\w-]* )?generated(?! by hand)|(?<!list was )generated from|generated code\s*[.:-]"
     r"|rendered from [\w./-]+ - do not|produced by a (?:script|tool|program)|output of [\w-]+ [\d.]+\.|emitted by [\w-]+ v?[\d.]+|(?:manual )?(?:changes|edits) (?:will be|are) (?:discarded|overwritten|lost)"
     r"|von einem (?:tool|programm|werkzeug) (?:generiert|erzeugt)|automatisch (?:generiert|erzeugt)|(?:produit|généré|genere|générée?) automatiquement|generado (?:autom[aá]ticamente|por)|no (?:lo )?edit(?:e|ar)|ne pas modifier|nicht (?:bearbeiten|ändern)",
     re.I,
@@ -70,7 +75,7 @@ VENDORED = re.compile(
 SPEAKS_OF = re.compile(r"generated code policy|(?:list|set|names?|kind) of generated files|generated files that|files marked", re.I)
 #: Names and folders by which tools mark what they write, and folders that hold other projects.
 GENERATED_NAME = re.compile(r"(?:[._](?:generated|g|i|pb|pb2|pb2_grpc|gen|designer|autogen|xsd)\.[a-z]+|\.min\.(?:js|css)|\.bundle\.js)$|/_{0,2}generated_{0,2}/", re.I)
-VENDOR_FOLDER = re.compile(r"(?:^|/)(?:_?vendor|vendored|third[-_]?party|thirdparty|external|externals|deps|bower_components|site-packages)/[^/]+/", re.I)
+VENDOR_FOLDER = re.compile(r"(?:^|/)(?:_?vendor|vendored|(?:third|3rd)[-_]?party|externals?|deps|bower_components|site-packages)/[^/]+/", re.I)
 
 _DIGIT, _LETTER = re.compile(r"\d").search, re.compile("[A-Za-z]").search
 _NUMBER, _NAME = re.compile(r"\b\d[\w.]*"), re.compile(r"[^\W\d]\w*")
@@ -82,11 +87,37 @@ _A = _SALT.randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) |
 _B = _SALT.randint(0, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
 
 
+def _code(t: str) -> int:
+    """The code of a token: a keyword or sign of its own, a kind for all others; comments are -1."""
+    c = t[0]
+    if c.isalpha() or c == "_":
+        code = _CODE.get(t.lower(), _IDENT)
+        return _IDENT_NO if code == _IDENT and not t.isalpha() and _DIGIT(t) and not _TYPES.match(t) else code
+    if len(t) == 1:
+        return _NUM if c.isdigit() else _CODE.get(c, _ELSE)
+    return _STR if c in "\"'`" else _NUM if c.isdigit() else _COMMENT
+
+
+class _Codes(dict):
+    """Codes of the short tokens that were met; comments and strings are told by their signs each time."""
+
+    def __missing__(self, t: str) -> int:
+        code = _code(t)
+        if len(t) <= 40 and code != _COMMENT:
+            if len(self) >= KNOWN_TOKENS:
+                self.clear()
+            self[t] = code
+        return code
+
+
+_CODES = _Codes()
+
+
 def opening(text: str) -> str:
     """All comments before the first line of code, and strings that stand there."""
     out, at = [], 0
     while m := _TOKEN.search(text, at):
-        if m.lastgroup in ("c", "s"):
+        if _code(m[0]) in (_COMMENT, _STR):
             at = m.end()
         elif text.startswith("[//]", m.start()):
             at = end if (end := text.find("\n", m.start())) >= 0 else len(text)
@@ -97,24 +128,20 @@ def opening(text: str) -> str:
 
 
 def measures(text: str) -> tuple[np.ndarray, dict[str, float]]:
-    """Sorted masked shingle codes, and shares that tell machine-made text."""
-    codes, literal, solid, numbered, comments = [], 0, 0, set(), 0
-    code_of = _CODE.get
-    for m in _TOKEN.finditer(text):
-        kind, t = m.lastgroup, m[0]
-        if kind == "c":
-            comments += len(t)
-            continue
-        solid += len(t)
-        if kind == "i":
-            codes.append(code_of(t.lower(), _IDENT))
-            if not t.isalpha() and _DIGIT(t) and not _TYPES.match(t):
-                numbered.update(int(d[-9:]) for d in _NUMBERED.findall(t))
-        elif kind == "p":
-            codes.append(code_of(t, _ELSE))
-        else:
-            codes.append(_NUM if kind == "n" else _STR)
-            literal += len(t)
+    """Sorted masked shingle codes, and shares that tell machine-made text.
+
+    Each share is taken over the whole text and weighed by how much text there is: it is
+    multiplied by n / (n + n0), so short texts approach 0 without a limit below which none counts."""
+    tokens = _TOKEN.findall(text)
+    codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    code = codes != _COMMENT
+    comments, solid = int(sizes[~code].sum()), int(sizes[code].sum())
+    literal = int(sizes[(codes == _NUM) | (codes == _STR)].sum())
+    with_number = codes == _IDENT_NO
+    # a number longer than the number of tokens cannot end a run that begins at 1
+    numbered = {int(d) for i in np.flatnonzero(with_number) for d in _NUMBERED.findall(tokens[i]) if len(d) <= len(tokens)}
+    codes[with_number] = _IDENT
     opaque = sum(len(x) for x in _OPAQUE.findall(text) if _DIGIT(x) and _LETTER(x))
     run = 0
     while run + 1 in numbered:
@@ -122,18 +149,18 @@ def measures(text: str) -> tuple[np.ndarray, dict[str, float]]:
     forms = Counter(filter(None, map(str.strip, _NAME.sub("I", _NUMBER.sub("0", text)).split("\n"))))
     n_lines = sum(forms.values())
     top = max((n for f, n in forms.items() if f.count("0") >= 2 or len(f) >= 20), default=0)
-    a = np.array(codes, dtype=np.int64)
+    a = codes[code]
     k = min(SHINGLE, len(a))
     grams = np.zeros(max(len(a) - k + 1, 0) if k else 0, dtype=np.int64)
     for j in range(k):
         grams = grams * 512 + a[j : len(a) - k + 1 + j]
     blank = len(text) - sum(map(len, text.split()))
     return np.unique(grams), {
-        "literal": literal / solid if solid >= 200 else 0.0,
-        "opaque": opaque / max(1, solid) if solid >= 200 else 0.0,
+        "literal": literal / (solid + ENOUGH),
+        "opaque": opaque / (solid + ENOUGH),
         "numbered": float(run),
-        "table": top / n_lines if n_lines >= 8 else 0.0,
-        "dense": 1.0 if len(text) >= 200 and len(text) - comments > 150 * max(1, n_lines) and blank < 0.12 * len(text) else 0.0,
+        "table": top / (n_lines + 1),
+        "dense": (len(text) - comments) / (max(1, n_lines) + ENOUGH / 150) if blank < 0.12 * len(text) else 0.0,
     }
 
 
@@ -141,7 +168,7 @@ def machine_made(m: dict[str, float]) -> str | None:
     """blob, minified or generated by a file's own measures."""
     if m["literal"] >= 0.62 or m["opaque"] >= 0.25:
         return "blob"
-    if m["dense"]:
+    if m["dense"] > 150:
         return "minified"
     if m["numbered"] >= 10 or m["table"] >= 0.5:
         return "generated"
@@ -175,17 +202,23 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, dtype=kind.to_pandas_dtype())]), kind))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for file_id, ws, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-            t = (text or "").lstrip("﻿").replace("\r\n", "\n")
+        rows, sets, sigs = [], [], []
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            t = (text or "").lstrip("\ufeff").replace("\r\n", "\n")
             codes, m = measures(t)
             kind = hashlib.blake2b(codes.tobytes(), digest_size=16).hexdigest() if len(codes) else None
-            rows.append((file_id, ws, kind, told(path, t), machine_made(m), codes.tolist(), signature(codes).tolist() if len(codes) else None))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        cols = list(zip(*rows)) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "workspace_id", "kind", "told", "machine", "codes", "sig"])
+            rows.append((kind, told(path, t), machine_made(m)))
+            sets.append(codes)
+            sigs.append(signature(codes))
+        own = [pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 3)]
+        yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("workspace_id"), *own, _lists(sets, pa.int64()), _lists(sigs, pa.int32())], names=["file_id", "workspace_id", "kind", "told", "machine", "codes", "sig"])
 
 
 def profiles(files: DataFrame) -> DataFrame:
@@ -197,9 +230,7 @@ def profiles(files: DataFrame) -> DataFrame:
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, key, part, kind): each goes to the most similar earlier leader of its bucket or leads itself.
-
-    Signatures go along only if a bucket has several parts, whose leaders meet again."""
+    """Rows sorted by (band, key, part, kind): each goes to the most similar earlier leader of its bucket or leads itself."""
     at, names, sigs, n = None, [], np.empty((16, BANDS * ROWS), dtype=np.int32), 0
     for batch in batches:
         own = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, BANDS * ROWS)
@@ -220,14 +251,12 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(kind)
                 n += 1
             out.append(leader)
-        again = np.asarray(batch.column("parts")).max(initial=1) > 1
-        sig = batch.column("sig") if again else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "key", "parts", "kind")), sig, pa.array(out, pa.string())], names=["band", "key", "parts", "kind", "sig", "leader"])
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(out, pa.string())], names=["kind", "leader"])
 
 
 def _led(rows: DataFrame) -> DataFrame:
-    rows = rows.select("band", "key", "part", "parts", "kind", "sig").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "kind")
-    return materialize(rows.mapInArrow(_lead, "band int, key long, parts int, kind string, sig array<int>, leader string"), "led")
+    rows = rows.select("band", "key", "part", "kind", "sig").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "kind")
+    return materialize(rows.mapInArrow(_lead, "kind string, leader string").where("kind != leader").distinct(), "led")
 
 
 def parities(codes: np.ndarray) -> np.ndarray:
@@ -307,19 +336,18 @@ def similar_links(kinds: DataFrame) -> DataFrame:
     """(a, b): verified links of classes (kind, codes, sig) that connect all similar ones that share a bucket.
 
     First each class meets the leader it resembles. A bucket's state is its leaders. Buckets of
-    many classes are dealt to several tasks, whose leaders then meet in one. Then follow the
-    pairs that these links leave apart."""
+    many classes are dealt to several tasks. Then follow the pairs that these links leave apart,
+    for which every two parts of a bucket meet in a task of their own."""
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS)).alias("key")))
     rows = kinds.select("kind", "sig", F.inline(band))
     parts = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
     rows = rows.join(parts, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts").cast("long")).cast("int"))
     near = _led(rows)
-    among = _led(near.where("parts > 1 and kind = leader").withColumn("part", F.lit(-1)).withColumn("parts", F.lit(1)))
-    pairs = near.unionByName(among).where("kind != leader").select(F.col("kind").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = near.select(F.col("kind").alias("a"), F.col("leader").alias("b"))
     led = materialize(_verified(pairs, kinds), "links")
     named = families(kinds, led)
     out = materialize(led.unionByName(missed_links(kinds, rows, named)), "links")
-    for x in (near, among, led, named):
+    for x in (near, led, named):
         release(x)
     return out
 
@@ -355,10 +383,10 @@ def classified(files: DataFrame) -> DataFrame:
         share(F.col("told") == "generated").alias("told_generated"), share(F.col("told") == "vendored").alias("told_vendored"),
     )
     judged = (
-        F.when((F.col("n_files") > 1) & (F.col("blob") > 0.8), "blob")
-        .when((F.col("n_files") > 1) & (F.col("machine_share") > 0.8), "generated")
-        .when((F.col("n_files") >= 5) & (F.col("told_generated") > 0.8), "generated")
-        .when((F.col("n_workspaces") > 1) & (F.col("n_files") >= 5) & (F.col("told_vendored") > 0.8), "vendored")
+        F.when(F.col("blob") > 0.8, "blob")
+        .when(F.col("machine_share") > 0.8, "generated")
+        .when(F.col("told_generated") > 0.8, "generated")
+        .when((F.col("n_workspaces") > 1) & (F.col("told_vendored") > 0.8), "vendored")
     )
     out = members.join(fam.withColumn("judged", judged), "family", "left")
     return out.select("file_id", "workspace_id", F.coalesce("judged", "told", "machine").alias("reason"), "family", F.coalesce("n_files", F.lit(1)).alias("n_files"), F.coalesce("n_workspaces", F.lit(1)).alias("n_workspaces"))

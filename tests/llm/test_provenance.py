@@ -31,7 +31,7 @@ def test_openings(text):
     assert P.told("src/a.rs", text) == NOT_HAND[text]
 
 
-@pytest.mark.parametrize("text", [HAND, "# Generated code policy\n\nFiles marked \"DO NOT EDIT\" are not reviewed.\n", "//! Keeps the list of generated files that `x` must skip.\n//! Do not edit the order of the checks without a test.\n" + HAND, "// SPDX-License-Identifier: MIT\n// Copyright the project contributors\n" + HAND, "", "// todo\n", 'let s = "Code generated by x";\n'])
+@pytest.mark.parametrize("text", [HAND, "# Generated code policy\n\nFiles marked \"DO NOT EDIT\" are not reviewed.\n", "//! Keeps the list of generated files that `x` must skip.\n//! Do not edit the order of the checks without a test.\n" + HAND, "// SPDX-License-Identifier: MIT\n// Copyright the project contributors\n" + HAND, "", "// todo\n", "# The list was generated from the DB by hand\nimport json\n", 'let s = "Code generated by x";\n'])
 def test_written_by_hand(text):
     assert P.told("src/a.rs", text) is None and P.machine_made(P.measures(text)[1]) is None
 
@@ -46,7 +46,7 @@ def test_long_openings():
     assert P.told("a.md", page + "# Title\n\nText on what was generated.\n") is None
 
 
-@pytest.mark.parametrize(("path", "want"), [("a/b.g.cs", "generated"), ("a/x_pb2.py", "generated"), ("a/Form.Designer.cs", "generated"), ("a/generated/x.rs", "generated"), ("a/codegen/x.rs", None), ("a/vendor/lib-1.0/x.rs", "vendored"), ("Vendor/lib/x.cs", "vendored"), ("a/vendors/lib/x.rs", None), ("a/vendor_portal/x.rs", None), ("a/external_links/x.rs", None), ("a/regenerated.rs", None), (None, None)])
+@pytest.mark.parametrize(("path", "want"), [("a/b.g.cs", "generated"), ("a/x_pb2.py", "generated"), ("a/Form.Designer.cs", "generated"), ("a/generated/x.rs", "generated"), ("a/codegen/x.rs", None), ("a/vendor/lib-1.0/x.rs", "vendored"), ("Vendor/lib/x.cs", "vendored"), ("a/vendors/lib/x.rs", None), ("a/vendor_portal/x.rs", None), ("a/external_links/x.rs", None), ("a/3rdparty/lib/x.js", "vendored"), ("a/3rd_party/lib/x.js", "vendored"), ("a/regenerated.rs", None), (None, None)])
 def test_places(path, want):
     assert P.told(path, HAND) == want
 
