@@ -73,14 +73,20 @@ def ranked(documents: DataFrame, query: str, case_sensitive: bool = False, langu
     length = F.greatest(F.char_length("content") - 2, F.lit(0))
     facts = documents.where("content is not null").agg(F.count("*").alias("n"), F.avg(length).alias("mean"), *[F.count_if(F.contains(text, F.lit(g))).alias(f"d{i}") for i, g in enumerate(grams)]).first()
     own, score = trigrams(text), F.lit(0.0)
+    # without a stored index every content is read; FtsIndex reads the postings of the terms
     found = found.withColumn("_own", F.filter(own, lambda x: x.isin(grams))).withColumn("_length", length)
     for i, g in enumerate(grams):
         tf = F.size(F.filter("_own", _equal(g))).cast("double")
-        idf = F.log(F.lit(1 + (facts["n"] - facts[f"d{i}"] + 0.5) / (facts[f"d{i}"] + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.lit(facts["mean"] or 1.0)))
+        score = score + bm25(tf, F.col("_length"), facts["n"], facts[f"d{i}"], facts["mean"])
     return found.withColumn("score", score).drop("_own", "_length")
 
 
+def bm25(tf: Column, length: Column, n: int, with_term: int, mean: float | None) -> Column:
+    """A term's part of a document's score."""
+    idf = F.log(F.lit(1 + (n - with_term + 0.5) / (with_term + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
 def _equal(gram: str):
     return lambda x: x == gram
 
@@ -129,14 +135,15 @@ class Page:
     next_cursor: str | None
 
 
-def search(index: DataFrame, store: DataFrame, query: str, limit: int | None = None, cursor: str | None = None, context: int | None = None, case_sensitive: bool = False, language: str | None = None, path_prefix: str | None = None) -> Page:
-    """A page of hits with snippets from the store; a hit that the store does not hold in the indexed state is an error."""
+def search(index, store: DataFrame, query: str, limit: int | None = None, cursor: str | None = None, context: int | None = None, case_sensitive: bool = False, language: str | None = None, path_prefix: str | None = None) -> Page:
+    """A page of hits with snippets from the store; index is a stored FtsIndex or documents. A hit that the store does not hold in the indexed state is an error."""
     n, at = bounded(limit, LIMITS.fts), cursor_offset(cursor)
-    top = in_order(ranked(index, query, case_sensitive, language, path_prefix)).select("uri", "content_hash", "score").offset(at).limit(n + 1).collect()
+    found = ranked(index, query, case_sensitive, language, path_prefix) if isinstance(index, DataFrame) else index.ranked(query, case_sensitive, language, path_prefix)
+    top = in_order(found).select("uri", "content_hash", "score").offset(at).limit(n + 1).collect()
     more, top = len(top) > n, top[:n]
     if not top:
         return Page([], None)
-    spark = index.sparkSession
+    spark = store.sparkSession
     wanted = spark.createDataFrame([(i, r.uri, r.content_hash) for i, r in enumerate(top)], "place int, uri string, content_hash string")
     found = store.join(F.broadcast(wanted), ["uri", "content_hash"]).withColumn("snippets", snippets(F.col("content"), query, context, case_sensitive))
     rows = sorted(found.select("place", "uri", "path", "language", "snippets", line_range(F.col("snippets")).alias("line_range")).collect(), key=lambda r: r.place)

@@ -58,14 +58,17 @@ def batch_edges(edges: DataFrame, nodes: DataFrame, done_files: DataFrame) -> Da
     return rows.where(F.col("last_seen_run_id").isNull() | (F.col("last_seen_run_id") != F.col("run_id"))).groupBy("entity_id").agg(F.max("run_id").alias("run_id"))
 
 
-def deleted_files(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) to close when files (file_id, run_id) are gone: their nodes, and edges that touch those or are proved there."""
+def deleted_files(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, files: DataFrame, observations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) to close when files (file_id, run_id) are gone: their nodes, and edges that touch those, are proved there or were observed from them (entity_id, file_id)."""
     gone = nodes.join(files, "file_id").select("id", "run_id")
     ends = edges.where("valid_to_run_id is null").select(F.col("id").alias("entity_id"), F.explode(F.array("src_node_id", "dst_node_id")).alias("id"))
-    touched = ends.join(gone, "id").select("entity_id", "run_id")
-    proved = evidence.join(files.withColumnRenamed("run_id", "closed"), "file_id").select(F.col("edge_id").alias("entity_id"), F.col("closed").alias("run_id"))
+    out = ends.join(gone, "id").select("entity_id", "run_id")
+    for told, column in ((evidence, "edge_id"), (observations, "entity_id")):
+        if told is not None:
+            named = told.select(F.col(column).alias("entity_id"), "file_id").where("file_id is not null").distinct()
+            out = out.unionByName(named.join(files, "file_id").select("entity_id", "run_id"))
     closing = nodes.where("valid_to_run_id is null").join(files, "file_id").select(F.col("id").alias("entity_id"), "run_id")
-    return closing, touched.unionByName(proved).groupBy("entity_id").agg(F.max("run_id").alias("run_id"))
+    return closing, out.groupBy("entity_id").agg(F.max("run_id").alias("run_id"))
 
 
 def unseen_documents(documents: DataFrame, runs: DataFrame) -> DataFrame:

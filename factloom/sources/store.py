@@ -1,79 +1,132 @@
-"""A store of immutable table snapshots with one pointer that a commit swaps.
+"""A store of immutable table snapshots, kept in buckets, with one pointer that a commit swaps.
 
-Readers see the snapshots that the pointer named when they asked. A commit writes all
-its tables first and moves the pointer last, so a failed one leaves nothing visible."""
+Readers see the snapshots that the pointer named when they asked. A transaction writes its tables
+first and swaps the pointer last, so a failed one leaves nothing visible; the swap compares the version
+it began with, so of two writers one fails with `Conflict` (`Writer` then does its work again).
+
+Rows of a table with a key lie in the bucket of their key's hash. A change by key writes the
+buckets it touches anew and keeps the files of all others. Appends add files. `compact` writes each
+bucket as one folder, `clean` removes what no kept version names."""
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.requests import SetupError
-from factloom.sources.schema import TABLES, VERSION
+from factloom.sources.pointer import Pointer
+from factloom.sources.schema import KEYS, TABLES, VERSION
+
+_BUCKET = "_bucket"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
-        if read_only and not self._exists("CURRENT.json"):
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, buckets: int = 8, spread: int = 1):
+        """buckets: of every table with a key, for good once the store has data; spread: tasks and files that share a bucket."""
+        self.spark, self.root, self.read_only, self.spread = spark, root.rstrip("/"), read_only, spread
+        self.pointer = Pointer(spark, self.root, {"version": VERSION, "buckets": buckets, "tables": {}})
+        self._open: dict | None = None
+        if read_only and not self.pointer.exists():
             raise SetupError(f"no store at {root}")
 
-    def _at(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _exists(self, name: str) -> bool:
-        path, fs = self._at(name)
-        return fs.exists(path)
-
-    def _pointer(self) -> dict:
-        path, fs = self._at("CURRENT.json")
-        if not fs.exists(path):
-            return {"version": VERSION, "tables": {}}
-        lines = self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
-        stream = fs.open(path)
+    @property
+    def in_transaction(self) -> bool:
+        return self._open is not None
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All commits within are one: they see each other, readers see them together or not at all."""
+        if self.in_transaction:
+            yield
+            return
+        if self.read_only:
+            raise SetupError("the store was opened for reading")
+        base = self.pointer.read()
+        self._open = {"tables": dict(base["value"]["tables"]), "changed": False}
         try:
-            return json.loads(bytes(lines.readFullyToByteArray(stream)).decode())
+            yield
+            if self._open["changed"]:
+                tables = self._open["tables"]
+                self.pointer.swap(base, lambda v: v | {"tables": tables}, again=False)
         finally:
-            stream.close()
+            self._open = None
+
+    def _state(self) -> dict:
+        value = self.pointer.read()["value"]
+        return value | {"tables": self._open["tables"]} if self._open else value
+
+    def bucket(self, table: str) -> Column:
+        """The bucket of a row by its key columns."""
+        return F.pmod(F.xxhash64(*KEYS[table]), F.lit(self._state()["buckets"]).cast("long")).cast("int")
 
-    def read(self, table: str) -> DataFrame:
-        """The table as of now; one that was never written is empty."""
-        parts = self._pointer()["tables"].get(table, [])
+    def touched(self, table: str, rows: DataFrame) -> list[int]:
+        """Buckets that rows, which have the key's columns, lie in: at most as many as the store has."""
+        return sorted(r[0] for r in rows.select(self.bucket(table).alias(_BUCKET)).distinct().collect())
+
+    def touched_by(self, table: str, column: str, values: DataFrame) -> list[int]:
+        """Buckets of the rows whose column is among values; reads that column and the key only."""
+        return self.touched(table, self.read(table).select(*{*KEYS[table], column}).join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_semi"))
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets, as of now; one that was never written is empty."""
+        parts = [at for at, b in self._state()["tables"].get(table, []) if buckets is None or b is None or b in buckets]
         schema = TABLES[table].replace(" not null", "")
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
-
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> None:
-        """Replace and append to tables in one step."""
-        if self.read_only:
-            raise SetupError("the store was opened for reading")
-        state = self._pointer()
-        for more, frames in ((False, replaced or {}), (True, appended or {})):
-            for table, df in frames.items():
-                at = f"{table}/v={uuid.uuid4().hex}"
-                df.select([c.split()[0] for c in TABLES[table].split(", ")]).write.parquet(f"{self.root}/{at}")
-                state["tables"][table] = [*(state["tables"].get(table, []) if more else []), at]
-        temp, fs = self._at(f"CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        final, _ = self._at("CURRENT.json")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        ways = self.spark.sparkContext._gateway.new_array(rename, 1)
-        ways[0] = rename.OVERWRITE
-        context.rename(temp, final, ways)
+        out = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
+        if buckets is not None and any(b is None for _, b in self._state()["tables"].get(table, [])):
+            out = out.where(self.bucket(table).isin(buckets))
+        return out
+
+    def _write(self, table: str, df: DataFrame) -> list[tuple[str, int | None]]:
+        """Write rows; (folder, bucket) of what was written."""
+        at = f"{table}/v={uuid.uuid4().hex}"
+        df = df.select([c.split()[0] for c in TABLES[table].split(", ")])
+        if table not in KEYS:
+            df.write.parquet(f"{self.root}/{at}")
+            return [(at, None)]
+        dealt = F.pmod(F.xxhash64(*df.columns), F.lit(self.spread).cast("long"))
+        df.withColumn(_BUCKET, self.bucket(table)).repartition(_BUCKET, dealt).write.partitionBy(_BUCKET).parquet(f"{self.root}/{at}")
+        path, fs = self.pointer._at(at)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted((f"{at}/{n}", int(n.split("=")[1])) for n in names if n.startswith(f"{_BUCKET}="))
+
+    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, rewritten: dict[str, tuple[list[int], DataFrame]] | None = None) -> None:
+        """Replace tables, append to tables, and replace (buckets, their rows) of tables, in one step."""
+        with self.transaction():
+            tables = self._open["tables"]
+            for table, df in (replaced or {}).items():
+                tables[table] = self._write(table, df)
+            for table, (buckets, df) in (rewritten or {}).items():
+                kept = [p for p in tables.get(table, []) if p[1] is not None and p[1] not in buckets]
+                if any(p[1] is None for p in tables.get(table, [])):
+                    df, kept = df.unionByName(self.read(table).where(~self.bucket(table).isin(buckets))), []
+                tables[table] = [*kept, *self._write(table, df)]
+            for table, df in (appended or {}).items():
+                tables[table] = [*tables.get(table, []), *self._write(table, df)]
+            self._open["changed"] = bool(replaced or rewritten or appended) or self._open["changed"]
+
+    def change(self, table: str, buckets: list[int], new: Callable[[DataFrame], DataFrame]) -> None:
+        """Put new(rows of the buckets) in the place of those rows."""
+        if buckets:
+            self.commit(rewritten={table: (buckets, new(self.read(table, buckets)))})
+
+    def compact(self, table: str) -> None:
+        """The same rows in one folder per bucket."""
+        self.commit({table: self.read(table)})
+
+    def clean(self) -> int:
+        """Delete folders that the current version does not name; the number of them. Not while writers are at work or readers hold older versions."""
+        used = {at.split("/_bucket")[0] for parts in self._state()["tables"].values() for at, _ in parts}
+        return sum(self.pointer.clean(t, used) for t in TABLES)
 
 
 def demo_rows(spark: SparkSession, root_uri: str, at: str) -> dict[str, DataFrame]:
     """Two nodes, an edge, an occurrence and a piece of evidence, to look at."""
-    from pyspark.sql import functions as F
-
     from factloom.functions.ids import edge_id, node_id
 
     one = spark.range(1)

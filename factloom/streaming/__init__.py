@@ -15,11 +15,12 @@ from factloom.sources.store import Store
 
 
 def apply_batch(store: Store, table: str, batch: DataFrame, order: list[str], keep_first: list[str] = ("first_seen_run_id",)) -> None:
-    """One batch of upserts, one commit."""
-    current = store.read(table)
-    first = [c for c in keep_first if c in current.columns]
-    reopens = "valid_to_run_id" if "valid_to_run_id" in current.columns else None
-    store.commit({table: merge.upsert(current, batch, KEYS[table], order, first, reopens)})
+    """One batch of upserts, one commit; only the buckets of its keys are written anew."""
+    with store.transaction():
+        have = store.read(table)
+        first = [c for c in keep_first if c in have.columns]
+        reopens = "valid_to_run_id" if "valid_to_run_id" in have.columns else None
+        store.change(table, store.touched(table, batch), lambda rows: merge.upsert(rows, batch, KEYS[table], order, first, reopens))
 
 
 def change_feed(rows: DataFrame, store: Store, table: str, order: list[str], checkpoint: str, once: bool = False) -> StreamingQuery:
