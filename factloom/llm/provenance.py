@@ -332,22 +332,35 @@ def missed_links(kinds: DataFrame, rows: DataFrame, named: DataFrame) -> DataFra
     return _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kinds)
 
 
-def similar_links(kinds: DataFrame) -> DataFrame:
-    """(a, b): verified links of classes (kind, codes, sig) that connect all similar ones that share a bucket.
+def similar_links(kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Families by leaders, the links (a, b) to leaders and the links they missed; together these connect all similar classes (kind, codes, sig) that share a bucket.
 
     First each class meets the leader it resembles. A bucket's state is its leaders. Buckets of
     many classes are dealt to several tasks. Then follow the pairs that these links leave apart,
     for which every two parts of a bucket meet in a task of their own."""
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS)).alias("key")))
-    rows = kinds.select("kind", "sig", F.inline(band))
+    rows = kinds.select("kind", F.inline(band))
     parts = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
     rows = rows.join(parts, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts").cast("long")).cast("int"))
-    near = _led(rows)
+    rows = materialize(rows.select("band", "key", "part", "parts", "kind"), "banded")
+    near = _led(rows.join(kinds.select("kind", "sig"), "kind"))
     pairs = near.select(F.col("kind").alias("a"), F.col("leader").alias("b"))
     led = materialize(_verified(pairs, kinds), "links")
     named = families(kinds, led)
-    out = materialize(led.unionByName(missed_links(kinds, rows, named)), "links")
-    for x in (near, led, named):
+    missed = materialize(missed_links(kinds, rows, named), "links")
+    for x in (rows, near):
+        release(x)
+    return named, led, missed
+
+
+def linked_families(kinds: DataFrame) -> DataFrame:
+    """(kind, family) by all links of `similar_links`: families of the first links are joined by the missed ones."""
+    named, led, missed = similar_links(kinds)
+    own = lambda c: named.select(F.col("kind").alias(c), F.col("family").alias(f"_{c}"))
+    across = missed.join(own("a"), "a").join(own("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    joined = families(named.select(F.col("family").alias("kind")).distinct(), across).select(F.col("kind").alias("family"), F.col("family").alias("to"))
+    out = materialize(named.join(joined, "family").select("kind", F.col("to").alias("family")), "families")
+    for x in (named, led, missed):
         release(x)
     return out
 
@@ -374,7 +387,7 @@ def classified(files: DataFrame) -> DataFrame:
     """file_id, workspace_id, reason (null: written by hand), family, n_files, n_workspaces."""
     prof = materialize(profiles(files), "profiles")
     kinds = materialize(prof.where("kind is not null").groupBy("kind").agg(F.first("codes").alias("codes"), F.first("sig").alias("sig")), "kinds")
-    named = families(kinds, similar_links(kinds))
+    named = linked_families(kinds)
     members = prof.select("file_id", "workspace_id", "kind", "told", "machine").join(named, "kind", "left")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     fam = members.where("family is not null").groupBy("family").agg(

@@ -101,12 +101,14 @@ def test_links_against_brute_force(spark, monkeypatch, bucket):
             keep = b[rnd.rand(len(b)) > 0.04]
             sets.append(np.unique(np.concatenate([keep, rnd.randint(0, 1 << 40, 2)])))
     df = spark.createDataFrame([(f"k{i:02}", s.tolist(), P.signature(s).tolist()) for i, s in enumerate(sets)], "kind string, codes array<long>, sig array<int>")
-    links = P.similar_links(df)
+    _, led, missed = P.similar_links(df)
+    links = led.unionByName(missed)
     for r in links.collect():
         a, b = sets[int(r.a[1:])], sets[int(r.b[1:])]
         both = len(np.intersect1d(a, b))
         assert both / (len(a) + len(b) - both) >= 0.8
     named = {r.kind: r.family for r in P.families(df, links).collect()}
+    assert {r.kind: r.family for r in P.linked_families(df).collect()} == named
     parent = list(range(len(sets)))
 
     def top(x):
@@ -137,7 +139,8 @@ def test_variants_of_one_template(spark, monkeypatch, bucket):
     variant = lambda n: np.unique(np.concatenate([rnd.permutation(base)[n:], rnd.randint(0, 1 << 45, n)]))
     sets = {f"d{i:02}": variant(16) for i in range(60)} | {"x": np.unique(base), "y": variant(10)}
     df = spark.createDataFrame([(k, s.tolist(), P.signature(s).tolist()) for k, s in sets.items()], "kind string, codes array<long>, sig array<int>")
-    assert {tuple(sorted((r.a, r.b))) for r in P.similar_links(df).collect()} == {("x", "y")}
+    _, led, missed = P.similar_links(df)
+    assert {tuple(sorted((r.a, r.b))) for r in led.unionByName(missed).collect()} == {("x", "y")}
 
 
 def test_parities_bound_the_difference():
