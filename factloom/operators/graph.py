@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import contains_nocase, equals_nocase, startswith_nocase
-from factloom.requests import LIMITS, Direction, NotFound, bounded, required_text
-from factloom.session import materialize, release
+from factloom.requests import LIMITS, Direction, InvalidParams, NotFound, bounded, required_text
+from factloom.session import materialize
 
 
 @dataclass
@@ -227,14 +227,14 @@ def reachable(g: Graph, sources: DataFrame, depth: int) -> DataFrame:
     """source, node_id, depth of everything reached from many sources (source) within depth steps, breadth first."""
     active = g.active_nodes.select(F.col("id").alias("dst_node_id"))
     edges = materialize(g.active_edges.join(active, "dst_node_id", "left_semi").select("src_node_id", "dst_node_id").distinct(), "steps")
-    seen = materialize(sources.select("source", F.col("source").alias("node_id"), F.lit(0).alias("depth")), "seen")
-    level = seen
+    seen = level = materialize(sources.select("source", F.col("source").alias("node_id"), F.lit(0).alias("depth")).distinct(), "level")
     for d in range(1, depth + 1):
         step = level.select("source", F.col("node_id").alias("src_node_id")).join(edges, "src_node_id").select("source", F.col("dst_node_id").alias("node_id")).distinct()
+        # every level is written once; seen is their union
         level = materialize(step.join(seen.select("source", "node_id"), ["source", "node_id"], "left_anti").withColumn("depth", F.lit(d)), "level")
-        more = materialize(seen.unionByName(level), "seen")
-        release(seen)
-        seen = more
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
     return seen
 
 
@@ -282,10 +282,15 @@ def workspace_routes(g: Graph) -> DataFrame:
     return g.routes.where("scope = 'workspace'")
 
 
+ROUTE_FILTERS = ("workspace_id", "route", "scope", "provider", "last_status")
+
+
 def route_status(g: Graph, limit: int | None = None, file_path: str | None = None, **equal: str | int | None) -> DataFrame:
-    """Route statuses under optional filters, in the order of their key."""
+    """Route statuses under optional filters, in the order of their key; an unknown filter is an error."""
     rows = g.routes
-    for column in ("workspace_id", "route", "scope", "provider", "last_status"):
+    if unknown := sorted(set(equal) - set(ROUTE_FILTERS)):
+        raise InvalidParams(f"unknown filter {', '.join(unknown)}")
+    for column in ROUTE_FILTERS:
         if equal.get(column) is not None:
             rows = rows.where(F.col(column) == equal[column])
     if file_path is not None:

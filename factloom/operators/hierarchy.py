@@ -22,6 +22,8 @@ from factloom.session import materialize, release
 
 #: Positions of an Euler tour that one sweep handles; bounds a task's state, whatever the tree.
 CHUNK = 65536
+#: Keys in the paths of one batch; a longer path is a batch of its own.
+PATH_KEYS = 500_000
 
 
 def records(df: DataFrame, scope: list[str], key: str, parent: str) -> DataFrame:
@@ -119,9 +121,13 @@ def intervals(tree: DataFrame) -> DataFrame:
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths from rows sorted by (root, chunk, entry): the open intervals are the ancestors."""
-    at, stack = None, []
+    at, stack, names = None, [], ["id", "path"]
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.list_(pa.string()))], names=names)
+
     for batch in batches:
-        ids, paths = [], []
+        ids, paths, held = [], [], 0
         for root, chunk, entry, exit_, id_, key, own in zip(*(batch.column(c).to_pylist() for c in ("root", "chunk", "entry", "exit", "id", "key", "own"))):
             if (root, chunk) != at:
                 at, stack = (root, chunk), []
@@ -131,7 +137,11 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own:
                 ids.append(id_)
                 paths.append([k for _, k in stack])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.list_(pa.string()))], names=["id", "path"])
+                held += len(stack)
+                if held >= PATH_KEYS:
+                    yield out()
+                    ids, paths, held = [], [], 0
+        yield out()
 
 
 def paths(spans: DataFrame, keys: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.numbering import row_numbers
 from factloom.operators.snapshots import fingerprint
 from factloom.session import materialize
 
@@ -40,8 +41,7 @@ def versions(rows: DataFrame, entity: str, run: str, attributes: list[str], firs
     tells; an entity's first version starts at its smallest first-seen run."""
     latest = materialize(_latest(rows, entity, run, attributes, first, ended, arrived), "latest")
     # the numbers of the snapshots: one row per run, however many entities there are
-    runs = latest.select("run").distinct().withColumn("no", F.row_number().over(Window.orderBy("run")) - 1)
-    runs = materialize(runs, "runs")
+    runs = row_numbers(latest.select("run").distinct(), ["run"], "no", "runs")
     bits = latest.join(runs, "run").groupBy("entity", "value", F.floor(F.col("no") / BITS).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(no % {BITS} as int))")).alias("x"))
 
     in_word = Window.partitionBy("entity", "word")

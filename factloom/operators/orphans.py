@@ -19,11 +19,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.numbering import row_numbers
 from factloom.session import materialize
 
 #: Parents of one range (about 100 bytes each in a task) and references of one task.
 PARENTS_PER_RANGE = 100_000
-REFERENCES_PER_TASK = 500_000
+REFERENCES_PER_TASK = 250_000
 
 
 def packed(key: Column) -> Column:
@@ -45,7 +46,7 @@ def _in_ranges(df: DataFrame, splits: list[float]) -> DataFrame:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, part, kind, key): the parents of a range come before its references."""
+    """Rows sorted by (slot, kind, key): the parents of a slot's range come before its references."""
     at, keys, first, ended = None, [], [], []
     known = None
     names = ["table_name", "row_id", "field_name", "run", "state"]
@@ -72,13 +73,13 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        places = list(zip(batch.column("range").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_pylist()))
+        places = list(zip(batch.column("slot").to_pylist(), batch.column("kind").to_pylist()))
         cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)] if places else []
         for a, b in zip(cuts, cuts[1:]):
             piece = batch.slice(a, b - a)
-            if places[a][:2] != at:
-                at, keys, first, ended, known = places[a][:2], [], [], [], None
-            if places[a][2] == 0:
+            if places[a][0] != at:
+                at, keys, first, ended, known = places[a][0], [], [], [], None
+            if places[a][1] == 0:
                 keys += piece.column("key").to_pylist()
                 first += piece.column("first").fill_null(-1).to_pylist()
                 ended += piece.column("ended").fill_null(-1).to_pylist()
@@ -103,18 +104,20 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         splits = [-math.inf, 0.0, math.inf]
 
     owners, rows = _in_ranges(owners, splits), _in_ranges(rows, splits)
-    held = {r["range"]: r["count"] for r in rows.groupBy("range").count().collect()}
-    parts = F.array(*[F.lit(max(1, math.ceil(held.get(i, 0) / REFERENCES_PER_TASK))) for i in range(len(splits) - 1)])
-    share = F.element_at(parts, F.col("range") + 1)
+    # one row per range: how many tasks its references fill, and the number of the first of these
+    held = rows.groupBy("range").agg(F.ceil(F.count("*") / REFERENCES_PER_TASK).cast("int").alias("share"))
+    numbered = row_numbers(held.select("range", "share", F.explode(F.sequence(F.lit(0), F.col("share") - 1)).alias("part")), ["range", "part"], "slot", "slots")
+    ranges = numbered.groupBy("range").agg(F.max("share").alias("share"), F.min("slot").alias("base"))
+    slots = numbered.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0] + 1
     none = lambda kind: F.lit(None).cast(kind)
-    left = owners.withColumn("part", F.explode(F.sequence(F.lit(0), share - 1))).select("range", "part", F.lit(0).alias("kind"), "key", "first", "ended", none("string").alias("table_name"), none("long").alias("row_id"), none("string").alias("field_name"), none("long").alias("run"))
-    dealt = F.pmod(F.xxhash64("row_id", "field_name"), share.cast("long")).cast("int")
-    right = rows.withColumn("part", dealt).select("range", "part", F.lit(1).alias("kind"), "key", none("long").alias("first"), none("long").alias("ended"), "table_name", "row_id", "field_name", "run")
-    tasks = sum(max(1, math.ceil(held.get(i, 0) / REFERENCES_PER_TASK)) for i in range(len(splits) - 1))
-    width = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    together = left.unionByName(right).repartition(width, "range", "part")
+    left = owners.join(ranges, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("share") - 1)))
+    left = left.select((F.col("base") + F.col("part")).cast("int").alias("slot"), F.lit(0).alias("kind"), "key", "first", "ended", none("string").alias("table_name"), none("long").alias("row_id"), none("string").alias("field_name"), none("long").alias("run"))
+    dealt = F.pmod(F.xxhash64("row_id", "field_name"), F.col("share").cast("long"))
+    right = rows.join(ranges, "range").select((F.col("base") + dealt).cast("int").alias("slot"), F.lit(1).alias("kind"), "key", none("long").alias("first"), none("long").alias("ended"), "table_name", "row_id", "field_name", "run")
+    # every slot is a task of its own, none is empty
+    together = left.unionByName(right).repartitionById(slots, "slot")
     # only parents need the order of their keys; references follow theirs as they come
-    together = together.sortWithinPartitions("range", "part", "kind", F.when(F.col("kind") == 0, F.col("key")))
+    together = together.sortWithinPartitions("slot", "kind", F.when(F.col("kind") == 0, F.col("key")))
     return together.mapInArrow(_probe, "table_name string, row_id long, field_name string, run long, state string").distinct()
 
 
