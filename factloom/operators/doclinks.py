@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import equals_nocase, is_markdown, linked_language
 from factloom.operators.graph import matches
+from factloom.requests import InvalidParams
 
 WIKILINK = r"\[\[([^\]|\n]+)(?:\|([^\]\n]*))?\]\]"
 
@@ -34,13 +35,22 @@ def annotations(nodes: DataFrame, in_markdown: bool) -> DataFrame:
     return rows if in_markdown else rows.where(~is_markdown(F.coalesce("path", F.lit(""))))
 
 
-def metrics(nodes: DataFrame, edges: DataFrame, query: str | None = None, workspace_id: int | None = None, markdown_annotations: bool = False) -> DataFrame:
-    """workspace_id, soul_id, has_document, source_annotation_count, linked_source_annotation_count (edges, so it can be more)."""
+def metrics(nodes: DataFrame, edges: DataFrame, query: str | None = None, workspace_id: int | None = None, markdown_annotations: bool = False, root_uri: str | None = None, workspaces: DataFrame | None = None) -> DataFrame:
+    """workspace_id, soul_id, has_document, source_annotation_count, linked_source_annotation_count (edges, so it can be more).
+
+    Candidates are documentation nodes (language soul), active, of the asked workspace or root (workspaces: id, root_uri)
+    whose name, display name, qualified name or path contains the query."""
     asked = _active(nodes).where((F.col("kind") == "object") | ((F.col("kind") == "file") & F.col("selection_start_line").isNotNull()))
+    if "language" in nodes.columns:
+        asked = asked.where(F.col("language") == "soul")
+    if root_uri is not None:
+        if workspaces is None:
+            raise InvalidParams("root_uri needs the workspaces")
+        asked = asked.join(workspaces.where(F.col("root_uri") == root_uri).select(F.col("id").alias("workspace_id")), "workspace_id", "left_semi")
     if workspace_id is not None:
         asked = asked.where(F.col("workspace_id") == workspace_id)
     if query is not None:
-        asked = asked.where(matches(query, ["name", "path"]))
+        asked = asked.where(matches(query, [c for c in ("name", "display_name", "qualified_name", "path") if c in nodes.columns]))
     key = ["workspace_id", "name"]
     docs, notes = documents(nodes), annotations(nodes, markdown_annotations)
     links = _active(edges).where("relation = 'references'").select(F.col("src_node_id").alias("id"), F.col("dst_node_id").alias("doc"))
@@ -85,3 +95,33 @@ def markdown_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = _active(edges).where("relation = 'references'").select(F.col("src_node_id").alias("id"), F.col("dst_node_id").alias("target"), F.col("id").alias("edge_id"))
     rows = n.where(is_markdown(F.col("path"))).select("id", "path").join(links, "id").join(n.select(F.col("id").alias("target"), "workspace_id", F.col("name").alias("soul_id")), "target")
     return rows.select("workspace_id", "soul_id", F.col("id").alias("node_id"), "path", "edge_id")
+
+
+def source_files(documents: DataFrame, annotations: DataFrame, references: DataFrame) -> DataFrame:
+    """path of every file that holds a document, an annotation or a wikilink, in order."""
+    paths = documents.select("path").unionByName(annotations.select("path")).unionByName(references.select("path"))
+    return paths.where("path is not null").distinct().orderBy("path")
+
+
+def file_symbols(documents: DataFrame, annotations: DataFrame, references: DataFrame) -> DataFrame:
+    """path, name, kind (file, object, string), line, parent of the symbols of documentation files.
+
+    documents: path, soul_id, line; annotations: path, soul_id, line; references: path, target_id, display, line.
+    Annotations and wikilinks are children of the document of their file, if it is one; a wikilink is named by its display text or else its target."""
+    docs = documents.groupBy("path").agg(F.min(F.struct("line", "soul_id")).alias("d")).select("path", F.col("d.soul_id").alias("name"), F.lit("file").alias("kind"), F.col("d.line").alias("line"))
+    notes = annotations.select("path", F.col("soul_id").alias("name"), F.lit("object").alias("kind"), "line")
+    links = references.select("path", F.coalesce(F.nullif("display", F.lit("")), "target_id").alias("name"), F.lit("string").alias("kind"), "line")
+    below = notes.unionByName(links).join(docs.select("path", F.col("name").alias("parent")), "path", "left")
+    return docs.withColumn("parent", F.lit(None).cast("string")).unionByName(below)
+
+
+def ids_at(positions: DataFrame, documents: DataFrame, annotations: DataFrame, references: DataFrame) -> DataFrame:
+    """ask, soul_id: the id at each position (ask, path, line, col): a wikilink there, else an annotation of the line, else the file's document; null if there is none.
+
+    references also have start_col and end_col."""
+    p, r = positions.alias("p"), references.alias("r")
+    over = (F.col("p.path") == F.col("r.path")) & (F.col("p.line") == F.col("r.line")) & (F.col("p.col") >= F.col("r.start_col")) & (F.col("p.col") < F.col("r.end_col"))
+    link = p.join(r, over).groupBy("p.ask").agg(F.min_by("r.target_id", "r.start_col").alias("_link"))
+    note = positions.join(annotations.select("path", "line", "soul_id"), ["path", "line"]).groupBy("ask").agg(F.min("soul_id").alias("_note"))
+    doc = positions.join(documents.select("path", "soul_id"), "path").groupBy("ask").agg(F.min("soul_id").alias("_doc"))
+    return positions.join(link, "ask", "left").join(note, "ask", "left").join(doc, "ask", "left").select("ask", F.coalesce("_link", "_note", "_doc").alias("soul_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,62 @@ class MissingPrerequisite(QueryError):
     """What an extraction refers to was not stored before."""
 
 
+@dataclass(frozen=True)
+class Routes:
+    """Which routes an extraction runs; with none chosen it is all."""
+
+    symbols: bool = False
+    references: bool = False
+    calls: bool = False
+
+    @classmethod
+    def chosen(cls, symbols: bool = False, references: bool = False, calls: bool = False) -> Routes:
+        return cls(symbols, references, calls) if symbols or references or calls else cls(True, True, True)
+
+    @property
+    def relations(self) -> bool:
+        return self.references or self.calls
+
+    @property
+    def label(self) -> str:
+        on = [name for name in ("symbols", "references", "calls") if getattr(self, name)]
+        return "all" if len(on) == 3 else "+".join(on) or "none"
+
+
+#: Counts of an extraction's summary.
+SUMMARY = ("files", "nodes", "edges", "reference_edges", "call_edges", "occurrences", "reference_occurrences", "call_occurrences", "evidence", "routes_complete", "stale_nodes_closed", "stale_edges_closed")
+
+
+def merged_summary(parts: DataFrame) -> DataFrame:
+    """workspace_id, run_id and the sums of the counts of all parts; a missing or null count is 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in parts.columns else F.lit(0).cast("long").alias(c) for c in SUMMARY]
+    return parts.groupBy("workspace_id", "run_id").agg(*sums)
+
+
+def relation_targets(symbols: DataFrame, changed: DataFrame, provider: str, routes: Routes) -> tuple[DataFrame, DataFrame]:
+    """(reference targets, call targets) of symbols (path, kind, ...) when files (path) changed.
+
+    References are asked for all targets, as unchanged symbols may be named in changed files. Calls are
+    followed from the callable outward, so only those of changed files are asked, except where a
+    provider reports incoming calls (csharp), which needs all of them. No changed file: nothing is asked."""
+    any_changed = changed.select("path").distinct()
+    none = symbols.where(F.lit(False))
+    refs = symbols.where(mapping.reference_target(F.col("kind"), provider))
+    calls = symbols.where(mapping.callable_kind(F.col("kind"), provider))
+    if provider != "csharp":
+        calls = calls.join(any_changed, "path", "left_semi")
+    if any_changed.isEmpty():
+        refs = calls = none
+    return refs if routes.references else none, calls if routes.calls else none
+
+
+def required(found: DataFrame, asked: DataFrame, key: list[str], what: str, command: str) -> None:
+    """An error that names the command to run first if a row of asked is not in found."""
+    gone = asked.select(*key).distinct().join(found.select(*key).distinct(), key, "left_anti").limit(3).collect()
+    if gone:
+        raise MissingPrerequisite(f"{what} {', '.join(str(tuple(r)) for r in gone)} not stored: run {command} first")
+
+
 def document_symbols(payloads: DataFrame, key: str, text: str, uri: str, separator: str = "::") -> DataFrame:
     """key, uri, pos, name, kind, qualified_name, container: nested responses flattened; container is the parent's place, or null below the file.
 

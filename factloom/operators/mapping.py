@@ -7,7 +7,7 @@ costs no more than its answers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import ranges
@@ -108,9 +108,10 @@ def references_of_ids(asked: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def normal_calls(calls: DataFrame) -> DataFrame:
-    """Outgoing calls (target, file, sites: array of structs with file) with the sites of their own file only, those without any left out."""
+    """Outgoing calls (target, file, sites: array of structs with file) with the sites of their own file only, those without any left out, by target."""
     own = F.filter("sites", lambda x: x["file"] == F.col("file"))
-    return calls.withColumn("sites", F.array_sort(own)).where(F.size("sites") > 0)
+    kept = calls.withColumn("sites", F.array_sort(own)).where(F.size("sites") > 0)
+    return kept.orderBy(*[c for c in ("target_file", "target_line", "target_col", "target") if c in calls.columns])
 
 
 def call_targets(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -135,6 +136,24 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("weight"), F.min(at).alias("first_occurrence"), F.max(at).alias("last_occurrence"))
 
 
+def occurrence_lists(rows: DataFrame, keys: list[str], order: list[str], most: int = 10_000) -> DataFrame:
+    """Relations with their occurrences in order, as a list; a relation with more than `most` comes as several rows (chunk 0, 1, ...), so no list grows with the data."""
+    at = Window.partitionBy(*keys, "_part").orderBy(*order)
+    # positions within hash parts keep a hot relation out of one task
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(16).cast("long")))
+    numbered = spread.withColumn("_nth", F.row_number().over(at) - 1).withColumn("chunk", F.floor(F.col("_nth") / most))
+    lists = numbered.groupBy(*keys, "_part", "chunk").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("l"))
+    counts = lists.groupBy(*keys).agg(F.sum(F.size("l")).alias("weight"))
+    small = lists.join(counts.where(F.col("weight") <= most), keys).groupBy(*keys, "weight").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("occurrences")).withColumn("chunk", F.lit(0).cast("long"))
+    large = lists.join(counts.where(F.col("weight") > most), keys).select(*keys, "weight", F.col("l").alias("occurrences"), (F.col("chunk") * 16 + F.col("_part")).alias("chunk"))
+    return small.unionByName(large)
+
+
+def inverted(calls: DataFrame) -> DataFrame:
+    """Incoming calls (source, target, sites) as outgoing ones: who calls comes first, whichever side was asked."""
+    return calls.select(F.col("target").alias("source"), F.col("source").alias("target"), *[c for c in calls.columns if c not in ("source", "target")])
+
+
 def diff_by_hash(known: DataFrame, current: DataFrame, key: list[str], digest: str) -> DataFrame:
     """key, state: unchanged, changed (also new) or deleted, of the current files against the known hashes; a null hash never equals."""
     k, c = known.select(*key, F.col(digest).alias("old"), F.lit(True).alias("was")), current.select(*key, F.col(digest).alias("new"), F.lit(True).alias("is"))

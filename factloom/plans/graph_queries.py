@@ -280,6 +280,13 @@ SQL = {
     "reachable": f"""{views.sql("e")}, {_SOURCE}, a as (select distinct src_node_id s, dst_node_id d from e join n on n.id = e.dst_node_id and n.valid_to_run_id is null where e.valid_to_run_id is null),
  l as (select id source, id node_id, 0 depth from hub union all select id, d, 1 from hub join a on a.s = hub.id union all select id, b.d, 2 from hub join a on a.s = hub.id join a b on b.s = a.d)
  select source, node_id, cast(min(depth) as int) depth from l group by 1, 2""",
+    "shortest_path": f"""{views.sql("files", "e")}, {_SOURCE}, st as (select e.src_node_id s, e.id eid, e.relation, e.dst_node_id d,
+  row_number() over (partition by e.src_node_id order by e.relation, coalesce(f.path, ''), n.kind nulls first, coalesce(n.qualified_name, n.name) nulls first, n.id, e.id) nth
+  from e join n on n.id = e.dst_node_id and n.valid_to_run_id is null left join files f on f.id = n.file_id where e.valid_to_run_id is null),
+ l1 as (select d, min(nth) nth, arg_min(eid, nth) eid, arg_min(relation, nth) relation from st join hub on hub.id = st.s where d <> hub.id group by d),
+ l2 as (select st.d, l1.d via, st.eid, st.relation, row_number() over (partition by st.d order by l1.nth, st.nth) k from st join l1 on l1.d = st.s where st.d not in (select id from hub union all select d from l1)),
+ way as (select * from l2 where k = 1 and d = (select max(d) from l2))
+ select cast(0 as bigint) step, hub.id src_node_id, l1.relation, l1.eid edge_id, l1.d dst_node_id from hub, way join l1 on l1.d = way.via union all select 1, via, relation, eid, d from way""",
     "file_lookup": f"""{views.sql("files", "workspaces")} select f.path, f.id, f.workspace_id, w.root_uri, f.uri, f.language, f.content_hash from files f join workspaces w on w.id = f.workspace_id
  qualify row_number() over (partition by f.path order by w.id, f.id) = 1""",
     "file_symbols": f"""{views.sql("files", "n")} select n.file_id, f.path, n.id node_id, n.kind, coalesce(n.display_name, n.name) display_label, n.qualified_name from n join files f on f.id = n.file_id

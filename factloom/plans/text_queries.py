@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
 from factloom.operators import doclinks, search
-from factloom.session import table
+from factloom.requests import LIMITS
+from factloom.session import materialize, shared_dir, table
+from factloom.sources.fts_index import FtsIndex
 
 QUERY, CASED, LINE = "planner", "SocketReport", "only the run"
 
@@ -20,6 +24,20 @@ def fts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("file_id", "workspace_id", uri.alias("uri"), "path", "language", ids.content_hash(F.col("content")).alias("content_hash"), "content", F.col("run_id").alias("last_seen_run_id"))
 
 
+def fts_index(spark: SparkSession, sf_dir: str) -> FtsIndex:
+    """The stored index of a folder's documents, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        index = FtsIndex(spark, f"{shared_dir(spark)}/factloom/fts-{uuid.uuid4().hex}", buckets=16)
+        index.update(fts_documents(spark, sf_dir))
+        _INDEXES.clear()
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], FtsIndex] = {}
+
+
 def fts_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.terms(fts_documents(spark, sf_dir))
 
@@ -29,18 +47,24 @@ def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.candidates(fts_documents(spark, sf_dir), QUERY).select("uri")
+    return fts_index(spark, sf_dir).candidates(QUERY).select("uri")
 
 
 def fts_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.candidates(fts_documents(spark, sf_dir), QUERY, language="rust", path_prefix="crates/").select("uri", "path")
+    return fts_index(spark, sf_dir).candidates(QUERY, language="rust", path_prefix="crates/").select("uri", "path")
 
 
 def fts_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.candidates(fts_documents(spark, sf_dir), CASED, case_sensitive=True).select("uri", "content_hash")
+    return fts_index(spark, sf_dir).candidates(CASED, case_sensitive=True).select("uri", "content_hash")
 
 
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.in_order(fts_index(spark, sf_dir).ranked(f"{QUERY} snippet")).limit(25)
+    return hits.select("uri", "path", "language")
+
+
+def fts_scan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a stored index: every content is read."""
     hits = search.in_order(search.ranked(fts_documents(spark, sf_dir), f"{QUERY} snippet")).limit(25)
     return hits.select("uri", "path", "language")
 
@@ -51,26 +75,30 @@ def fts_matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of every matching document."""
-    docs = search.candidates(fts_documents(spark, sf_dir), QUERY)
+    """Snippets of every matching document; the index names them, their contents come from the store."""
+    docs = fts_documents(spark, sf_dir).join(fts_index(spark, sf_dir).candidates(QUERY).select("uri"), "uri", "left_semi")
     found = docs.select("uri", search.snippets(F.col("content"), QUERY).alias("s"))
     return found.select("uri", F.posexplode("s").alias("nth", "x")).select("uri", "nth", "x.*")
 
 
-def soul_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that declare an id, annotations in source files and wikilinks in other texts."""
+def soul_nodes(spark: SparkSession, sf_dir: str, topics: bool = False) -> DataFrame:
+    """Documents that declare an id, annotations in source files and wikilinks in other texts.
+
+    With topics an id is cut to what follows its last hyphen: many documents and links share a topic,
+    while hardly any link of these tables names the id of a document."""
+    cut = (lambda c: F.regexp_extract(c, "-([a-z]+)$", 1)) if topics else lambda c: c
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "source", "workspace_id", "language")
-    own = F.regexp_extract("text", r"^---\r?\nid: (\S+)\r?\n", 1)
+    own = cut(F.regexp_extract("text", r"^---\r?\nid: (\S+)\r?\n", 1))
     name = F.col("doc_id").cast("string")
     files = docs.where(own != "").select(F.concat(F.lit("doc:"), name).alias("id"), "workspace_id", F.lit("file").alias("kind"), own.alias("name"), F.concat(F.lit("docs/"), name, F.lit(".md")).alias("path"), F.lit(1).alias("selection_start_line"))
     ext = F.when(F.col("language") == "rust", ".rs").when(F.col("language") == "csharp", ".cs").otherwise(".txt")
     in_source = F.coalesce(F.col("source") == "source.files", F.lit(False))
-    link = F.explode(F.array_distinct(F.transform(doclinks.wikilinks(F.col("text")), lambda x: x["target"])))
-    named = docs.select("doc_id", "workspace_id", in_source.alias("in_source"), ext.alias("ext"), link.alias("name"))
+    link = F.explode(F.array_distinct(F.transform(doclinks.wikilinks(F.col("text")), lambda x: cut(x["target"]))))
+    named = docs.select("doc_id", "workspace_id", in_source.alias("in_source"), ext.alias("ext"), link.alias("name")).where("name <> ''")
     kind = F.when(F.col("in_source"), "object").otherwise("string")
     path = F.when(F.col("in_source"), F.concat(F.lit("src/"), name, F.col("ext"))).otherwise(F.concat(F.lit("docs/"), name, F.lit(".md")))
     links = named.select(F.concat(F.lit("link:"), name, F.lit(":"), F.col("name")).alias("id"), "workspace_id", kind.alias("kind"), "name", path.alias("path"), F.lit(1).alias("selection_start_line"))
-    return files.unionByName(links).withColumn("valid_to_run_id", F.lit(None).cast("long"))
+    return files.unionByName(links).withColumn("language", F.lit("soul")).withColumn("valid_to_run_id", F.lit(None).cast("long"))
 
 
 def soul_edges(nodes: DataFrame) -> DataFrame:
@@ -119,12 +147,25 @@ def doclink_markdown_refs(nodes, edges):
     return doclinks.markdown_references(nodes, edges)
 
 
+def _topics(name: str, f):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = materialize(soul_nodes(spark, sf_dir, topics=True), "topics")
+        return f(nodes, soul_edges(nodes))
+
+    query.__name__ = f"doclink_topic_{name}"
+    return query
+
+
+_TOPICS = [
+    _topics("linked", lambda n, e: doclinks.covered(doclinks.metrics(n, e), "linked")), _topics("sources", doclinks.sources), _topics("markdown_refs", doclinks.markdown_references),
+    _topics("chosen", lambda n, e: doclinks.chosen_documents(n)),
+]
 _COVERAGES = ("linked", "docs_without_source", "annotations_without_doc", "unlinked_annotations")
 QUERIES = {
     f.__name__: f
     for f in (
-        fts_terms, fts_postings, fts_candidates, fts_filtered, fts_case_sensitive, fts_search, fts_matching_lines, fts_snippets,
-        doclink_ids, *map(_coverage, _COVERAGES), doclink_page, doclink_sources, doclink_markdown_refs,
+        fts_terms, fts_postings, fts_candidates, fts_filtered, fts_case_sensitive, fts_search, fts_scan_search, fts_matching_lines, fts_snippets,
+        doclink_ids, *map(_coverage, _COVERAGES), doclink_page, doclink_sources, doclink_markdown_refs, *_TOPICS,
     )
 }
 
@@ -161,6 +202,15 @@ md as (select workspace_id, "name" soul_id, bool_or(kind = 'file') has_document,
  (select count(*) from se where se.kind = 'object' and se.workspace_id = sn.workspace_id and se."name" = sn."name") linked_source_annotation_count
  from sn where kind in ('file', 'object') and workspace_id is not null group by 1, 2)"""
 
+_TOPIC = (
+    _SOUL.replace(r"""regexp_extract(text, '^---\r?\nid: (\S+)\r?\n', 1)""", r"""regexp_extract(regexp_extract(text, '^---\r?\nid: (\S+)\r?\n', 1), '-([a-z]+)$', 1)""")
+    .replace("(select distinct doc_id, workspace_id, src, language, unnest(", "(select distinct * from (select doc_id, workspace_id, src, language, regexp_extract(t, '-([a-z]+)$', 1) target from (select doc_id, workspace_id, src, language, unnest(")
+    .replace(", 1)) target from docs))", ", 1)) t from docs)) where target <> ''))")
+)
+_SOURCES = """select s.workspace_id, s."name" soul_id, s.id node_id, s.path, case when ends_with(s.path, '.rs') then 'rust' when ends_with(s.path, '.cs') then 'csharp' when ends_with(s.path, '.md') then 'markdown' else 'other' end "language",
+ false is_markdown, se.edge_id from sn s left join se on se.src = s.id where s.kind = 'object'"""
+_REFERENCES = """select workspace_id, "name" soul_id, src node_id, path, edge_id from se where ends_with(path, '.md')"""
+
 _FOUND = {
     "linked": "has_document and linked_source_annotation_count > 0", "docs_without_source": "has_document and source_annotation_count = 0",
     "annotations_without_doc": "not has_document and source_annotation_count > 0", "unlinked_annotations": "source_annotation_count > linked_source_annotation_count",
@@ -184,4 +234,15 @@ SQL = {
     "doclink_sources": f"""with {_SOUL} select s.workspace_id, s."name" soul_id, s.id node_id, s.path, case when ends_with(s.path, '.rs') then 'rust' when ends_with(s.path, '.cs') then 'csharp' when ends_with(s.path, '.md') then 'markdown' else 'other' end "language",
  false is_markdown, se.edge_id from sn s left join se on se.src = s.id where s.kind = 'object'""",
     "doclink_markdown_refs": f"""with {_SOUL} select workspace_id, "name" soul_id, src node_id, path, edge_id from se where ends_with(path, '.md')""",
+    "doclink_topic_linked": f"with {_TOPIC} select * from md where {_FOUND['linked']}",
+    "doclink_topic_sources": f"with {_TOPIC} {_SOURCES}",
+    "doclink_topic_markdown_refs": f"with {_TOPIC} {_REFERENCES}",
+    "doclink_topic_chosen": f"""with {_TOPIC} select doc.workspace_id, doc."name" soul_id, doc.id document_id, sn.path document_path from doc join sn on sn.id = doc.id""",
+    "fts_snippets": f"""with {_DOCS}, t as (select uri, list_transform(case when ends_with(content, chr(10)) then string_split(content[:-2], chr(10)) else string_split(content, chr(10)) end, lambda x: regexp_replace(x, '\r$', '')) ls from d where {_has(QUERY)}),
+ m as (select uri, ls, i - 1 i from (select uri, ls, unnest(ls) x, generate_subscripts(ls, 1) i from t) where contains(lower(x), '{QUERY}') qualify row_number() over (partition by uri order by i) <= 3
+  union all select uri, ls, 0 from t where not list_contains(list_transform(ls, lambda x: contains(lower(x), '{QUERY}')), true)),
+ w as (select uri, ls, greatest(i - {LIMITS.context_lines.default}, 0) s, least(i + {LIMITS.context_lines.default}, len(ls) - 1) e from m),
+ g as (select *, sum(new) over (partition by uri order by s, e rows unbounded preceding) nth from (select *, case when s > lag(e) over (partition by uri order by s, e) + 1 then 1 else 0 end new from w))
+ select uri, cast(nth as int) nth, cast(min(s) + 1 as int) start_line, cast(max(e) + 1 as int) end_line, array_to_string(list_slice(any_value(ls), min(s) + 1, max(e) + 1), chr(10)) "text" from g group by uri, nth""",
 }
+SQL["fts_scan_search"] = SQL["fts_search"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import ids, text
 from factloom.operators import extraction, lookups, mapping, merge, staleness
 from factloom.plans import facts, views
-from factloom.session import table
+from factloom.session import materialize, table
 
 #: Runs up to this one count as stored already, later ones as the batch.
 SPLIT = 48
@@ -73,6 +73,7 @@ def _edge_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     at = table(spark, sf_dir, "nodes").select(F.col("id").alias("src_node_id"), "file_id").distinct()
     key = {"route": F.col("relation"), "scope": F.lit("workspace"), "scope_key": F.col("workspace_id").cast("string"), "provider": F.lit("lsp")}
     seen = rows.join(at, "src_node_id", "left").select("workspace_id", *[c.alias(n) for n, c in key.items()], "run_id", F.col("id").alias("entity_id"), F.col("file_id").alias("source_file")).distinct()
+    seen = materialize(seen, "seen")  # the routes and what is unseen both read it
     status = table(spark, sf_dir, "extraction_runs").select(F.col("id").alias("run_id"), "status")
     events = seen.select(*views.ROUTE, "run_id").distinct().join(status, "run_id")
     return seen, merge.route_transitions(events, views.ROUTE)
@@ -85,6 +86,7 @@ def stale_edges_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unseen_with_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     seen, routes = _edge_observations(spark, sf_dir)
     unseen = staleness.unseen_for_route(seen, routes).join(seen.select("entity_id", "source_file").distinct(), "entity_id")
+    unseen = materialize(unseen, "unseen")
     done = staleness.completed(route_transitions(spark, sf_dir)).where("scope = 'file'").select(F.col("scope_key").alias("uri")).distinct()
     return unseen, views.files(spark, sf_dir).join(done, "uri").select(F.col("id").alias("file"), F.col("id").alias("file_id"))
 
@@ -124,7 +126,8 @@ def _gone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges to close because their file is gone."""
     g = views.graph(spark, sf_dir)
-    nodes, edges = staleness.deleted_files(g.nodes, g.edges, g.evidence, _gone_files(spark, sf_dir))
+    observed = _edge_observations(spark, sf_dir)[0].select("entity_id", F.col("source_file").alias("file_id"))
+    nodes, edges = staleness.deleted_files(g.nodes, g.edges, g.evidence, _gone_files(spark, sf_dir), observed)
     return nodes.groupBy("entity_id").agg(F.max("run_id").alias("run_id")).withColumn("entity_kind", F.lit("node")).unionByName(edges.withColumn("entity_kind", F.lit("edge")))
 
 
@@ -305,11 +308,12 @@ SQL = {
     "stale_batch_nodes": f"{views.sql('files', 'n', 'routes')}, {_DONE}, {_DF}, {_BATCH_NODES} select * from bn",
     "stale_batch_edges": f"""{views.sql("files", "e", "routes")}, {_DONE}, {_DF} select e.id entity_id, max(df.run_id) run_id from e join n on n.id = e.src_node_id or n.id = e.dst_node_id join df on df.workspace_id = e.workspace_id and df.file_id = n.file_id
  where e.valid_to_run_id is null and e.relation = 'contains' and e.last_seen_run_id is distinct from df.run_id group by 1""",
-    "stale_file": f"""{views.sql("files", "e", "ev")}, l as (select scope_key, max(run_id) run_id from route_scopes where scope = 'workspace' and last_status = 'complete' group by 1),
+    "stale_file": f"""{views.sql("files", "e", "ev")}, {_EOBS}, l as (select scope_key, max(run_id) run_id from route_scopes where scope = 'workspace' and last_status = 'complete' group by 1),
  h as (select file_id, scope_key, max(run_id) seen from file_snapshots where file_id is not null group by 1, 2), gone as (select h.file_id, max(l.run_id) run_id from h join l on l.scope_key = h.scope_key where h.seen < l.run_id group by 1)
  select n.id entity_id, max(gone.run_id) run_id, 'node' entity_kind from n join gone on gone.file_id = n.file_id where n.valid_to_run_id is null group by 1
  union all select id, max(run_id), 'edge' from (select e.id, gone.run_id from e join n on n.id = e.src_node_id or n.id = e.dst_node_id join gone on gone.file_id = n.file_id where e.valid_to_run_id is null
-  union all select ev.edge_id, gone.run_id from ev join gone on gone.file_id = ev.file_id) group by 1""",
+  union all select ev.edge_id, gone.run_id from ev join gone on gone.file_id = ev.file_id
+  union all select o.entity_id, gone.run_id from eobs o join gone on gone.file_id = o.source_file) group by 1""",
     "closed_nodes": f"""{views.sql("files", "n", "routes")}, {_DONE}, {_DF}, {_BATCH_NODES} select n.id, n.workspace_id, n."language", n.kind, n."name", n.display_name, n.container_node_id, n.first_seen_run_id, n.last_seen_run_id,
  coalesce(n.valid_to_run_id, bn.run_id) valid_to_run_id from n left join bn on bn.entity_id = n.id""",
     "stale_fts": """with d as (select file_id id, max(workspace_id) workspace_id, max(run_id) last from fts_inputs where file_id is not null group by 1), r as (select workspace_id, max(id) run_id from extraction_runs where status = 'complete' and provider = 'fts' group by 1)

@@ -17,8 +17,13 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(True) for r in df.collect()]
 
 
+#: Where to look at a graph without extracting one.
+TESTBEDS = "demo: factloom.sources.store.demo_rows, committed to an empty Store\ntables: the registered queries of __spark_entry__.py over any folder of Parquet tables"
+
+
 class GraphService:
-    def __init__(self, g: graph.Graph, documents: DataFrame | None = None, index: DataFrame | None = None, soul: tuple[DataFrame, DataFrame] | None = None):
+    def __init__(self, g: graph.Graph, documents: DataFrame | None = None, index=None, soul: tuple[DataFrame, DataFrame] | None = None, notes: str = TESTBEDS):
+        self.notes = notes
         self.g, self.documents, self.index, self.soul = g, documents, index if index is not None else documents, soul
 
     def stats(self) -> dict:
@@ -87,14 +92,14 @@ class GraphService:
         page = search.search(self.index, self.documents, query, **options)
         return {"hits": page.hits, "next_cursor": page.next_cursor}
 
-    def soul_search(self, query: str | None = None, coverage: str | None = None, limit: int | None = None, cursor: str | None = None, workspace_id: int | None = None, include_source_annotations: bool | None = None, include_markdown_sources: bool | None = None) -> dict:
+    def soul_search(self, query: str | None = None, coverage: str | None = None, limit: int | None = None, cursor: str | None = None, workspace_id: int | None = None, root_uri: str | None = None, include_source_annotations: bool | None = None, include_markdown_sources: bool | None = None) -> dict:
         if self.soul is None:
             raise ask.SetupError("no documentation links are stored")
         nodes, edges = self.soul
         text, n, at = ask.blank_is_none(query), ask.bounded(limit, ask.LIMITS.doc_ids), ask.cursor_offset(cursor)
         with_notes = include_source_annotations if include_source_annotations is not None else text is not None
         with_refs = include_markdown_sources if include_markdown_sources is not None else text is not None
-        found = doclinks.covered(doclinks.metrics(nodes, edges, text, ask.positive_id(workspace_id, "workspace_id"), with_refs), ask.coverage(coverage))
+        found = doclinks.covered(doclinks.metrics(nodes, edges, text, ask.positive_id(workspace_id, "workspace_id"), with_refs, ask.optional_text(root_uri, "root_uri"), self.g and self.g.workspaces), ask.coverage(coverage))
         total, ids = found.count(), _rows(doclinks.page(found, text, n, at))
         wanted = nodes.sparkSession.createDataFrame([(r["workspace_id"], r["soul_id"]) for r in ids], "workspace_id long, soul_id string")
         near = lambda df: _rows(df.join(F.broadcast(wanted), ["workspace_id", "soul_id"], "left_semi").orderBy("path", "node_id", "edge_id"))
@@ -114,6 +119,7 @@ class GraphService:
             "schema": "\n".join(f"{t}({c})" for t, c in schema.TABLES.items()),
             "workspaces": json_lines(_rows(self.g.workspaces.orderBy("id"))),
             "routes": json_lines(_rows(graph.route_status(self.g, ask.LIMITS.routes.most))),
+            "local-testbeds": self.notes,
         }
         return {k: sanitized(v) for k, v in texts.items()}
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import glob
+import io
 import json
-import os
 from collections.abc import Iterator
 from typing import BinaryIO
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from factloom.sources.discovery import filesystem
+
 SCHEMA = "source string, place long, id string, method string, body string, error string"
 
 
@@ -41,11 +43,14 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_File]:
-        found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else [self.path]
-        return [_File(p) for p in found]
+        fs, at = filesystem(self.path)
+        if fs.get_file_info([at])[0].type != pafs.FileType.Directory:
+            return [_File(at)]
+        return [_File(f.path) for f in sorted(fs.get_file_info(pafs.FileSelector(at)), key=lambda f: f.path) if f.type == pafs.FileType.File]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        fs, _ = filesystem(self.path)
+        with io.BufferedReader(fs.open_input_file(partition.path)) as f:
             for i, body in enumerate(frames(f)):
                 text = body.decode("utf-8", "replace")
                 try:
@@ -66,7 +71,7 @@ class FramedJson(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"].removeprefix("file://"))
+        return _Reader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:

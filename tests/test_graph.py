@@ -170,7 +170,7 @@ def test_checks(built):
     with pytest.raises(SetupError):
         service.soul_search()
     assert service.call("graph_search_nodes", query="run")["data"][0]["node_id"] == ids["run"]
-    assert set(service.resources()) == {"schema", "workspaces", "routes"} and "file:///fixture" in service.resources()["workspaces"]
+    assert set(service.resources()) == {"schema", "workspaces", "routes", "local-testbeds"} and "file:///fixture" in service.resources()["workspaces"]
 
 
 def test_deep_walks_over_whole_tables(spark, small):

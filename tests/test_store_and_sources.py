@@ -8,6 +8,7 @@ from factloom.requests import SetupError
 from factloom.sources import config, discovery, feed, projects, schema, sinks
 from factloom.sources.store import Store, demo_rows
 from factloom.streaming import change_feed
+from factloom.writer import Writer
 
 
 def test_merge_rules(spark, rows):
@@ -60,15 +61,47 @@ def test_change_feed(spark, tmp_path):
 
 
 def test_discovery(spark, tmp_path):
-    made = {"src/lib.rs": b"pub fn a() {}\n", "src/bin.dat": b"a\x00b", "src/odd.txt": b"\xff\xfe", "target/x.rs": b"x", "docs/a.MD": b"# a", "big.txt": b"x" * 50, "sub/m.cs": b"c", "graph.db": b"d", "empty.rs": b""}
+    made = {"src/lib.rs": b"pub fn a() {}\n", "src/bin.dat": b"a\x00b", "src/odd.txt": b"\xff\xfe", "target/x.rs": b"x", "docs/a.MD": b"# a", "big.txt": b"x" * 50, "sub/m.cs": b"c", "graph.db": b"d", "empty.rs": b"", ".hidden/x.rs": b"h", "_odd.rs": b"o", "crates/x/target/a.rs": b"kept"}
     for p, b in made.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b)
     rules = discovery.Exclusions(["target"], [], discovery.submodule_paths('[submodule "s"]\n path = sub\n'), "graph.db")
     found = {r.path: r for r in discovery.discover(spark, str(tmp_path), rules, 40).collect()}
-    assert {p: r.reason for p, r in found.items()} == {"src/lib.rs": "text", "src/bin.dat": "binary", "src/odd.txt": "encoding", "target/x.rs": "directory", "docs/a.MD": "text", "big.txt": "too_large", "sub/m.cs": "submodule", "graph.db": "artifact"}
+    assert {p: r.reason for p, r in found.items()} == {"src/lib.rs": "text", "src/bin.dat": "binary", "src/odd.txt": "encoding", "target/x.rs": "directory", "docs/a.MD": "text", "big.txt": "too_large", "sub/m.cs": "submodule", "graph.db": "artifact", "empty.rs": "text", ".hidden/x.rs": "text", "_odd.rs": "text", "crates/x/target/a.rs": "text"}
+    assert found["empty.rs"].content == "" and found["empty.rs"].byte_len == 0 and found["target/x.rs"].content is None
     assert found["docs/a.MD"].language == "markdown" and found["src/lib.rs"].content == "pub fn a() {}\n"
-    assert {r.reason: r.n_files for r in discovery.skip_counts(discovery.discover(spark, str(tmp_path), rules, 40)).collect()}["text"] == 2
+    assert {r.reason: r.n_files for r in discovery.skip_counts(discovery.discover(spark, str(tmp_path), rules, 40)).collect()}["text"] == 6
+
+
+def test_full_text_runs_over_a_folder(spark, tmp_path):
+    """Four files are indexed and one skipped; a second run finds four unchanged; one that is gone ends."""
+    made = {"a.rs": b"fn a() {}", "b.cs": b"class B {}", "c.md": b"# c", "d.txt": b"", "e.bin": b"a\x00"}
+    for p, b in made.items():
+        (tmp_path / "w").mkdir(exist_ok=True)
+        (tmp_path / "w" / p).write_bytes(b)
+    writer = Writer(Store(spark, f"file://{tmp_path}/store"), "now")
+    workspace = writer.create_workspace("file:///w", "mixed")
+
+    def run():
+        run_id = writer.start_run(workspace, "fts")
+        found = discovery.discover(spark, str(tmp_path / "w")).withColumn("workspace_id", F.lit(workspace).cast("long"))
+        texts = found.where("reason = 'text'")
+        files = writer.store.read("files").select("uri", F.col("content_hash").alias("_old"))
+        known = writer.store.read("fts_documents").where("valid_to_run_id is null").join(writer.store.read("files").select(F.col("id").alias("file_id"), "uri"), "file_id").select("uri")
+        same = texts.join(files.join(known, "uri"), "uri").where("content_hash = _old").drop("_old")
+        new = texts.join(same.select("uri"), "uri", "left_anti")
+        counts = new.count(), found.where("reason <> 'text'").count(), same.count()
+        route = spark.createDataFrame([(workspace, "fts", "workspace", "w", "fts")], "workspace_id long, route string, scope string, scope_key string, provider string")
+        writer.start_routes(route, run_id)
+        writer.write_fts(same, new, run_id)
+        writer.complete_routes(route, run_id)
+        writer.close_unseen_documents(run_id)
+        return counts, writer.store.read("fts_documents").where(F.col("valid_to_run_id") == run_id).count()
+
+    assert run() == ((4, 1, 0), 0)
+    assert run() == ((0, 1, 4), 0)
+    (tmp_path / "w/a.rs").unlink()
+    assert run() == ((0, 1, 3), 1)
 
 
 def test_projects(spark):
@@ -124,3 +157,32 @@ def test_extraction_rows(spark):
     assert kept.count() == 2 and missing == 1
     with pytest.raises(extraction.MissingPrerequisite):
         extraction.checked(rel, spark.createDataFrame([("s",)], "id string"), "f3")
+
+
+def test_routes_targets_and_summaries(spark):
+    assert extraction.Routes.chosen().label == "all" and extraction.Routes.chosen(calls=True).label == "calls" and extraction.Routes.chosen(True, True).label == "symbols+references" and not extraction.Routes.chosen(symbols=True).relations
+    symbols = spark.createDataFrame([("a", "function"), ("b", "function"), ("b", "variable")], "path string, kind string")
+    changed = spark.createDataFrame([("a",)], "path string")
+    every = extraction.Routes.chosen()
+    sizes = lambda *args: tuple(x.count() for x in extraction.relation_targets(symbols, *args))
+    assert sizes(changed, "rust", every) == (2, 1) and sizes(changed.limit(0), "rust", every) == (0, 0) and sizes(changed, "rust", extraction.Routes.chosen(symbols=True)) == (0, 0)
+    methods = symbols.withColumn("kind", F.lit("method"))
+    assert tuple(x.count() for x in extraction.relation_targets(methods, changed, "csharp", every)) == (3, 3)
+    parts = spark.createDataFrame([(1, 2, 3, None), (1, 2, 4, 5)], "workspace_id long, run_id long, files long, nodes long")
+    row = extraction.merged_summary(parts).first()
+    assert (row.files, row.nodes, row.evidence) == (7, 5, 0)
+    extraction.required(changed, changed, ["path"], "file", "symbols")
+    with pytest.raises(extraction.MissingPrerequisite, match="run symbols first"):
+        extraction.required(changed, spark.createDataFrame([("z",)], "path string"), ["path"], "file", "symbols")
+
+
+def test_occurrence_lists(spark):
+    from factloom.operators import mapping
+
+    rows = spark.createDataFrame([("s", "t", i) for i in range(50)] + [("s", "u", 3), ("s", "u", 1), ("s", "u", 1)], "source string, target string, line int")
+    got = mapping.occurrence_lists(rows, ["source", "target"], ["line"], 10).collect()
+    assert [[o.line for o in r.occurrences] for r in got if r.target == "u"] == [[1, 1, 3]] and all(len(r.occurrences) <= 10 for r in got)
+    assert sorted(o.line for r in got if r.target == "t" for o in r.occurrences) == list(range(50)) and {r.weight for r in got} == {3, 50}
+    assert len({(r.target, r.chunk) for r in got}) == len(got)
+    calls = spark.createDataFrame([("a", "b", 1)], "source string, target string, n int")
+    assert tuple(mapping.inverted(calls).first()) == ("b", "a", 1)

@@ -131,3 +131,26 @@ def test_soul_sources_and_calls(spark):
     asked = spark.createDataFrame([(1, "a")], "ask int, soul_id string")
     named = spark.createDataFrame([("a", "object", "p"), ("a", "string", "q"), ("a", "file", "r"), ("b", "object", "s")], "soul_id string, kind string, place string")
     assert {r.place for r in mapping.references_of_ids(asked, named).collect()} == {"p", "q"}
+
+
+def test_documentation_symbols_and_ids(spark):
+    docs = spark.createDataFrame([("d.md", "feature.a", 1)], "path string, soul_id string, line int")
+    notes = spark.createDataFrame([("d.md", "feature.b", 4), ("x.rs", "feature.a", 2)], "path string, soul_id string, line int")
+    refs = spark.createDataFrame([("d.md", "feature.c", "shown", 5, 2, 9), ("y.md", "feature.a", "", 1, 0, 4)], "path string, target_id string, display string, line int, start_col int, end_col int")
+    assert [r.path for r in doclinks.source_files(docs, notes, refs).collect()] == ["d.md", "x.rs", "y.md"]
+    got = {tuple(r) for r in doclinks.file_symbols(docs, notes, refs).collect()}
+    assert got == {("d.md", "feature.a", "file", 1, None), ("d.md", "feature.b", "object", 4, "feature.a"), ("x.rs", "feature.a", "object", 2, None), ("d.md", "shown", "string", 5, "feature.a"), ("y.md", "feature.a", "string", 1, None)}
+    asked = spark.createDataFrame([(1, "d.md", 5, 3), (2, "d.md", 4, 0), (3, "d.md", 5, 9), (4, "none.md", 1, 1), (5, "x.rs", 2, 7)], "ask int, path string, line int, col int")
+    assert {r.ask: r.soul_id for r in doclinks.ids_at(asked, docs, notes, refs).collect()} == {1: "feature.c", 2: "feature.b", 3: "feature.a", 4: None, 5: "feature.a"}
+
+
+def test_candidate_filters(spark):
+    nodes = spark.createDataFrame(
+        [("1", 1, "object", "feature.a", "soul", "Shown planner", None, "a.rs", 1, None), ("2", 2, "object", "feature.b", "soul", None, "mod.planner", "b.rs", 1, None), ("3", 1, "object", "feature.c", "rust", "planner", None, "c.rs", 1, None)],
+        "id string, workspace_id long, kind string, name string, language string, display_name string, qualified_name string, path string, selection_start_line int, valid_to_run_id long",
+    )
+    edges = spark.createDataFrame([], "id string, src_node_id string, dst_node_id string, relation string, valid_to_run_id long")
+    roots = spark.createDataFrame([(1, "file:///v"), (2, "file:///w")], "id long, root_uri string")
+    ids = lambda **k: sorted(r.soul_id for r in doclinks.metrics(nodes, edges, **k).collect())
+    assert ids() == ["feature.a", "feature.b"] == ids(query="PLANNER") and ids(query="b.rs") == ["feature.b"]
+    assert ids(root_uri="file:///w", workspaces=roots) == ["feature.b"] and ids(workspace_id=1) == ["feature.a"]
