@@ -143,10 +143,10 @@ def occurrence_lists(rows: DataFrame, keys: list[str], order: list[str], most: i
     spread = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(16).cast("long")))
     numbered = spread.withColumn("_nth", F.row_number().over(at) - 1).withColumn("chunk", F.floor(F.col("_nth") / most))
     lists = numbered.groupBy(*keys, "_part", "chunk").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("l"))
-    counts = lists.groupBy(*keys).agg(F.sum(F.size("l")).alias("weight"))
-    small = lists.join(counts.where(F.col("weight") <= most), keys).groupBy(*keys, "weight").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("occurrences")).withColumn("chunk", F.lit(0).cast("long"))
-    large = lists.join(counts.where(F.col("weight") > most), keys).select(*keys, "weight", F.col("l").alias("occurrences"), (F.col("chunk") * 16 + F.col("_part")).alias("chunk"))
-    return small.unionByName(large)
+    # a window over lists: few rows for a relation, and keys may be null
+    lists = lists.withColumn("weight", F.sum(F.size("l")).over(Window.partitionBy(*keys)))
+    lists = lists.withColumn("chunk", F.when(F.col("weight") <= most, F.lit(0).cast("long")).otherwise(F.col("chunk") * 16 + F.col("_part")))
+    return lists.groupBy(*keys, "weight", "chunk").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("occurrences"))
 
 
 def inverted(calls: DataFrame) -> DataFrame:

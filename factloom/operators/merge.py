@@ -54,6 +54,17 @@ def update(current: DataFrame, changes: DataFrame, key: list[str], also: Column
     return joined.select(*[F.when(F.col("_hit"), F.col(f"n.{c}")).otherwise(F.col(f"c.{c}")).alias(c) if c in sets else F.col(f"c.{c}") for c in current.columns])
 
 
+def mark_seen(documents: DataFrame, seen: DataFrame) -> DataFrame:
+    """Documents (workspace_id, file_id, content_hash, ...) seen unchanged by a run (workspace_id, file_id, content_hash, run_id): last seen then, and active again.
+
+    A hash that differs, or is null, marks nothing; of several marks of a document the last run holds."""
+    marks = seen.groupBy("workspace_id", "file_id", "content_hash").agg(F.max("run_id").alias("_run"))
+    rows = documents.join(marks, ["workspace_id", "file_id", "content_hash"], "left")
+    hit = F.col("_run").isNotNull()
+    sets = {"last_seen_run_id": F.coalesce("_run", "last_seen_run_id"), "valid_to_run_id": F.when(~hit, F.col("valid_to_run_id"))}
+    return rows.withColumns(sets).select(documents.columns)
+
+
 def append(current: DataFrame, rows: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     """current and new rows, which get the ids after the largest known one in their order."""
     from factloom.functions.numbering import row_numbers

@@ -156,6 +156,13 @@ def _topics(name: str, f):
     return query
 
 
+def doclink_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the documentation files: a document with its annotations and wikilinks as children."""
+    nodes = soul_nodes(spark, sf_dir).where("path is not null")
+    of = lambda kind, name: nodes.where(F.col("kind") == kind).select("path", F.col("name").alias(name), F.col("selection_start_line").alias("line"))
+    return doclinks.file_symbols(of("file", "soul_id"), of("object", "soul_id"), of("string", "target_id").withColumn("display", F.lit("")))
+
+
 _TOPICS = [
     _topics("linked", lambda n, e: doclinks.covered(doclinks.metrics(n, e), "linked")), _topics("sources", doclinks.sources), _topics("markdown_refs", doclinks.markdown_references),
     _topics("chosen", lambda n, e: doclinks.chosen_documents(n)),
@@ -165,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fts_terms, fts_postings, fts_candidates, fts_filtered, fts_case_sensitive, fts_search, fts_scan_search, fts_matching_lines, fts_snippets,
-        doclink_ids, *map(_coverage, _COVERAGES), doclink_page, doclink_sources, doclink_markdown_refs, *_TOPICS,
+        doclink_ids, *map(_coverage, _COVERAGES), doclink_page, doclink_sources, doclink_markdown_refs, doclink_symbols, *_TOPICS,
     )
 }
 
@@ -234,6 +241,8 @@ SQL = {
     "doclink_sources": f"""with {_SOUL} select s.workspace_id, s."name" soul_id, s.id node_id, s.path, case when ends_with(s.path, '.rs') then 'rust' when ends_with(s.path, '.cs') then 'csharp' when ends_with(s.path, '.md') then 'markdown' else 'other' end "language",
  false is_markdown, se.edge_id from sn s left join se on se.src = s.id where s.kind = 'object'""",
     "doclink_markdown_refs": f"""with {_SOUL} select workspace_id, "name" soul_id, src node_id, path, edge_id from se where ends_with(path, '.md')""",
+    "doclink_symbols": f"""with {_SOUL}, home as (select path, min("name") "name" from sn where kind = 'file' group by 1)
+ select path, "name", 'file' kind, cast(1 as int) line, cast(null as varchar) parent from home union all select sn.path, sn."name", sn.kind, 1, home."name" from sn left join home on home.path = sn.path where sn.kind <> 'file'""",
     "doclink_topic_linked": f"with {_TOPIC} select * from md where {_FOUND['linked']}",
     "doclink_topic_sources": f"with {_TOPIC} {_SOURCES}",
     "doclink_topic_markdown_refs": f"with {_TOPIC} {_REFERENCES}",

@@ -131,6 +131,48 @@ def stale_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("entity_id").agg(F.max("run_id").alias("run_id")).withColumn("entity_kind", F.lit("node")).unionByName(edges.withColumn("entity_kind", F.lit("edge")))
 
 
+def stale_file_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to close because a route observed them from a file that is gone: here the file of their target."""
+    g = views.graph(spark, sf_dir)
+    at = table(spark, sf_dir, "nodes").select(F.col("id").alias("dst_node_id"), "file_id").distinct()
+    observed = views.edge_rows(spark, sf_dir).join(at, "dst_node_id").select(F.col("id").alias("entity_id"), "file_id")
+    return staleness.deleted_files(g.nodes, g.edges.where(F.lit(False)), g.evidence.where(F.lit(False)), _gone_files(spark, sf_dir), observed)[1]
+
+
+def fts_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the earlier runs after later runs saw some of them unchanged."""
+    rows = table(spark, sf_dir, "fts_inputs").where("file_id is not null").select("file_id", "workspace_id", F.lower("content_hash").alias("content_hash"), "run_id", "indexed_at")
+    docs = merge.reduced(rows.where(F.col("run_id") <= SPLIT), ["file_id"], ["run_id", "indexed_at", "content_hash"]).withColumnRenamed("run_id", "last_seen_run_id").drop("indexed_at")
+    docs = docs.withColumn("valid_to_run_id", F.when(F.col("last_seen_run_id") < SPLIT / 2, F.lit(SPLIT)).cast("long"))
+    return merge.mark_seen(docs, rows.where(F.col("run_id") > SPLIT))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the runs: the counts of each crate and file scope added up."""
+    crates = table(spark, sf_dir, "file_snapshots").groupBy("workspace_id", "run_id", "scope_key").agg(F.count("*").alias("files"))
+    lists = table(spark, sf_dir, "extracted_symbols").groupBy("workspace_id", "run_id", "scope_key").agg(F.count("*").alias("nodes"), F.count("parent_symbol_key").alias("edges"))
+    return extraction.merged_summary(crates.unionByName(lists, allowMissingColumns=True).drop("scope_key")).select("workspace_id", "run_id", "files", "nodes", "edges", "evidence")
+
+
+def occurrence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of occurrences with all of them in order, as text."""
+    rows = table(spark, sf_dir, "occurrences").where("role in ('reference', 'call')").distinct()
+    out = mapping.occurrence_lists(rows.select("enclosing_node_id", "node_id", "role", "file_id", "start_line", "id"), ["enclosing_node_id", "node_id", "role"], ["file_id", "start_line", "id"])
+    return out.select("enclosing_node_id", "node_id", "role", "chunk", "weight", F.array_join(F.transform("occurrences", lambda o: o["id"].cast("string")), ",").alias("ids"))
+
+
+def relation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that are asked for when the files of the later runs changed, per provider."""
+    nodes = views.nodes(spark, sf_dir).where("file_id is not null and kind is not null").select("id", "kind", F.col("file_id").alias("path"))
+    changed = table(spark, sf_dir, "file_snapshots").where(f"run_id > {SPLIT} and file_id is not null").select(F.col("file_id").alias("path"))
+    out = None
+    for provider in ("rust", "csharp"):
+        for what, rows in zip(("references", "calls"), extraction.relation_targets(nodes, changed, provider, extraction.Routes.chosen())):
+            one = rows.select(F.lit(provider).alias("provider"), F.lit(what).alias("asked"), "id")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def closed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes after closing what their completed files no longer show."""
     return staleness.closed(views.nodes(spark, sf_dir).select(_NODE), stale_batch_nodes(spark, sf_dir))
@@ -254,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_edges, upsert_nodes, route_transitions, observations_dedup, append_occurrences, stale_nodes, stale_nodes_source_file, stale_edges_route, stale_edges_file, stale_edges_origin,
-        stale_batch_nodes, stale_batch_edges, stale_file, closed_nodes, stale_fts, containment_join, reference_sources, nearest_target, reference_groups, relation_rows, missing_endpoints,
+        stale_file_observed, fts_seen, summaries, occurrence_lists, relation_targets, stale_batch_nodes, stale_batch_edges, stale_file, closed_nodes, stale_fts, containment_join, reference_sources, nearest_target, reference_groups, relation_rows, missing_endpoints,
         incremental_diff, workspace_fingerprint, file_languages, encoded_paths, keys_of_file, text_gate, active_symbols, completed_hashes, flatten_symbols, symbol_rows,
     )
 }
@@ -314,6 +356,20 @@ SQL = {
  union all select id, max(run_id), 'edge' from (select e.id, gone.run_id from e join n on n.id = e.src_node_id or n.id = e.dst_node_id join gone on gone.file_id = n.file_id where e.valid_to_run_id is null
   union all select ev.edge_id, gone.run_id from ev join gone on gone.file_id = ev.file_id
   union all select o.entity_id, gone.run_id from eobs o join gone on gone.file_id = o.source_file) group by 1""",
+    "stale_file_observed": f"""{views.sql("er")}, l as (select scope_key, max(run_id) run_id from route_scopes where scope = 'workspace' and last_status = 'complete' group by 1),
+ h as (select file_id, scope_key, max(run_id) seen from file_snapshots where file_id is not null group by 1, 2), gone as (select h.file_id, max(l.run_id) run_id from h join l on l.scope_key = h.scope_key where h.seen < l.run_id group by 1)
+ select er.id entity_id, max(gone.run_id) run_id from er join nodes n on n.id = er.dst_node_id join gone on gone.file_id = n.file_id group by 1""",
+    "fts_seen": f"""with r as (select file_id, workspace_id, lower(content_hash) content_hash, run_id, indexed_at from fts_inputs where file_id is not null),
+ d as (select *, case when run_id < {SPLIT // 2} then {SPLIT} end ended from r where run_id <= {SPLIT} qualify row_number() over (partition by file_id order by run_id desc, indexed_at desc nulls last, content_hash desc nulls last) = 1),
+ m as (select workspace_id, file_id, content_hash, max(run_id) run from r where run_id > {SPLIT} group by 1, 2, 3)
+ select d.file_id, d.workspace_id, d.content_hash, coalesce(m.run, d.run_id) last_seen_run_id, cast(case when m.run is null then ended end as bigint) valid_to_run_id
+ from d left join m on m.workspace_id = d.workspace_id and m.file_id = d.file_id and m.content_hash = d.content_hash""",
+    "summaries": """with c as (select workspace_id, run_id, count(*) files, 0 nodes, 0 edges from file_snapshots group by 1, 2 union all select workspace_id, run_id, 0, count(*), count(parent_symbol_key) from extracted_symbols group by 1, 2)
+ select workspace_id, run_id, cast(sum(files) as bigint) files, cast(sum(nodes) as bigint) nodes, cast(sum(edges) as bigint) edges, cast(0 as bigint) evidence from c group by 1, 2""",
+    "occurrence_lists": f"""with {_REFS} select enclosing_node_id, node_id, role, cast(0 as bigint) chunk, count(*) weight, string_agg(cast(id as varchar), ',' order by file_id nulls first, start_line nulls first, id) ids from refs group by 1, 2, 3""",
+    "relation_targets": f"""{views.sql("n")}, k as (select id, kind, file_id from n where file_id is not null and kind is not null), ch as (select distinct file_id from file_snapshots where run_id > {SPLIT} and file_id is not null)
+ select 'rust' provider, 'references' asked, id from k where kind in {tuple(mapping.REFERENCE_TARGETS["rust"])} union all select 'csharp', 'references', id from k where kind in {tuple(mapping.REFERENCE_TARGETS["csharp"])}
+ union all select 'rust', 'calls', id from k where kind in {tuple(mapping.CALLABLE["rust"])} and file_id in (select file_id from ch) union all select 'csharp', 'calls', id from k where kind in {tuple(mapping.CALLABLE["csharp"])}""",
     "closed_nodes": f"""{views.sql("files", "n", "routes")}, {_DONE}, {_DF}, {_BATCH_NODES} select n.id, n.workspace_id, n."language", n.kind, n."name", n.display_name, n.container_node_id, n.first_seen_run_id, n.last_seen_run_id,
  coalesce(n.valid_to_run_id, bn.run_id) valid_to_run_id from n left join bn on bn.entity_id = n.id""",
     "stale_fts": """with d as (select file_id id, max(workspace_id) workspace_id, max(run_id) last from fts_inputs where file_id is not null group by 1), r as (select workspace_id, max(id) run_id from extraction_runs where status = 'complete' and provider = 'fts' group by 1)

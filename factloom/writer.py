@@ -195,17 +195,8 @@ class Writer:
         run = F.lit(run_id).cast("long")
         if seen is not None:
             seen = self._filed(seen, run_id, False)
-            marks = seen.select("workspace_id", "file_id", "content_hash").dropDuplicates(["workspace_id", "file_id"])
-            hashed = marks.withColumnRenamed("content_hash", "_seen")
-            table = "fts_documents"
-
-            def marked(have: DataFrame) -> DataFrame:
-                rows = have.join(hashed, ["workspace_id", "file_id"], "left")
-                hit = F.coalesce(F.col("_seen") == F.col("content_hash"), F.lit(False))
-                sets = {"last_seen_run_id": F.when(hit, run).otherwise(F.col("last_seen_run_id")), "valid_to_run_id": F.when(~hit, F.col("valid_to_run_id"))}
-                return rows.withColumns(sets).select(have.columns)
-
-            self.store.change(table, self.store.touched(table, marks), marked)
+            marks = seen.select("workspace_id", "file_id", "content_hash", run.alias("run_id"))
+            self.store.change("fts_documents", self.store.touched("fts_documents", marks), lambda have: merge.mark_seen(have, marks))
         if documents is not None:
             rows = self._with_ids("fts_documents", self._filed(documents, run_id, True)).withColumn("byte_len", F.octet_length("content").cast("long")).withColumn("indexed_at", F.lit(self.now)).withColumn("first_seen_run_id", run).withColumn("last_seen_run_id", run)
             self._upsert("fts_documents", rows, ["id", "first_seen_run_id"], "valid_to_run_id")

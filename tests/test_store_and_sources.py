@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import extraction, merge
 from factloom.requests import SetupError
+from factloom.session import materialize
 from factloom.sources import config, discovery, feed, projects, schema, sinks
 from factloom.sources.store import Store, demo_rows
 from factloom.streaming import change_feed
@@ -84,12 +85,12 @@ def test_full_text_runs_over_a_folder(spark, tmp_path):
 
     def run():
         run_id = writer.start_run(workspace, "fts")
-        found = discovery.discover(spark, str(tmp_path / "w")).withColumn("workspace_id", F.lit(workspace).cast("long"))
+        found = materialize(discovery.discover(spark, str(tmp_path / "w")).withColumn("workspace_id", F.lit(workspace).cast("long")))
         texts = found.where("reason = 'text'")
         files = writer.store.read("files").select("uri", F.col("content_hash").alias("_old"))
         known = writer.store.read("fts_documents").where("valid_to_run_id is null").join(writer.store.read("files").select(F.col("id").alias("file_id"), "uri"), "file_id").select("uri")
-        same = texts.join(files.join(known, "uri"), "uri").where("content_hash = _old").drop("_old")
-        new = texts.join(same.select("uri"), "uri", "left_anti")
+        same = materialize(texts.join(files.join(known, "uri"), "uri").where("content_hash = _old").drop("_old"))
+        new = materialize(texts.join(same.select("uri"), "uri", "left_anti"))
         counts = new.count(), found.where("reason <> 'text'").count(), same.count()
         route = spark.createDataFrame([(workspace, "fts", "workspace", "w", "fts")], "workspace_id long, route string, scope string, scope_key string, provider string")
         writer.start_routes(route, run_id)
