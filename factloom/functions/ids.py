@@ -34,24 +34,55 @@ def fingerprint(files: DataFrame, group: str, path: str, digest: str) -> DataFra
 
     The lines of a group run through one hash in order: its task sorts on disk and holds one
     batch of lines, however many files the group has. A null hash is an empty one."""
-    line = F.concat(F.col(path), F.lit(":"), F.coalesce(digest, F.lit("")), F.lit("\n"))
-    rows = files.select(F.col(group).cast("long").alias("g"), line.alias("line")).where("g is not null and line is not null")
+    rows = files.select(F.col(group).cast("long").alias("g"), F.lit("").alias("part"), _line(path, digest).alias("line"))
+    return _hashed(rows).select(F.col("g").alias(group), "fingerprint")
+
+
+def _line(path: str, digest: str) -> Column:
+    return F.concat(F.col(path), F.lit(":"), F.coalesce(digest, F.lit("")), F.lit("\n"))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """g, part, fingerprint: the sorted lines of each (g, part) through one hash."""
+    rows = rows.where("g is not null and line is not null")
+    names = ["g", "part", "fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([state.hexdigest()])], names=["g", "fingerprint"])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.string()), pa.array([state.hexdigest()])], names=names)
 
         for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if g != at:
+            for g, part, x in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "line"))):
+                if (g, part) != at:
                     if state is not None:
                         yield out()
-                    at, state = g, hashlib.sha256()
+                    at, state = (g, part), hashlib.sha256()
                 state.update(x.encode())
         if state is not None:
             yield out()
 
-    ordered = rows.repartition("g").sortWithinPartitions("g", "line")
-    return ordered.mapInArrow(run, "g long, fingerprint string").withColumnRenamed("g", group)
+    ordered = rows.repartition("g", "part").sortWithinPartitions("g", "part", "line")
+    return ordered.mapInArrow(run, "g long, part string, fingerprint string")
+
+
+def digests(files: DataFrame, group: str, path: str, digest: str) -> DataFrame:
+    """group, part, fingerprint: the same lines in 256 parts by the first byte of the path's sha256.
+
+    No group is one task's work, and of two states only the parts that differ need to be compared by file."""
+    part = F.substring(F.sha2(path, 256), 1, 2)
+    rows = files.select(F.col(group).cast("long").alias("g"), part.alias("part"), _line(path, digest).alias("line"))
+    return _hashed(rows).withColumnRenamed("g", group)
+
+
+def digest_of(parts: DataFrame, group: str) -> DataFrame:
+    """group, fingerprint: sha256 over the fingerprints of its parts in order, 256 at most."""
+    at = F.sort_array(F.collect_list(F.struct("part", "fingerprint")))
+    return parts.groupBy(group).agg(F.sha2(F.array_join(F.transform(at, lambda x: F.concat(x["part"], F.lit(":"), x["fingerprint"])), ""), 256).alias("fingerprint"))
+
+
+def differing_parts(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
+    """(group, part) whose fingerprints differ, or that only one state has."""
+    a, b = (x.select(group, "part", F.col("fingerprint").alias(n)) for x, n in ((before, "_a"), (after, "_b")))
+    return a.join(b, [group, "part"], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(group, "part")

@@ -245,6 +245,11 @@ def workspace_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.fingerprint(views.files(spark, sf_dir), "workspace_id", "path", "content_hash")
 
 
+def workspace_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each workspace's files by parts."""
+    return ids.digest_of(ids.digests(views.files(spark, sf_dir), "workspace_id", "path", "content_hash"), "workspace_id")
+
+
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files per language by the three rules that know languages by a path."""
     p = F.col("path")
@@ -297,7 +302,7 @@ QUERIES = {
     for f in (
         upsert_edges, upsert_nodes, route_transitions, observations_dedup, append_occurrences, stale_nodes, stale_nodes_source_file, stale_edges_route, stale_edges_file, stale_edges_origin,
         stale_file_observed, fts_seen, summaries, occurrence_lists, relation_targets, stale_batch_nodes, stale_batch_edges, stale_file, closed_nodes, stale_fts, containment_join, reference_sources, nearest_target, reference_groups, relation_rows, missing_endpoints,
-        incremental_diff, workspace_fingerprint, file_languages, encoded_paths, keys_of_file, text_gate, active_symbols, completed_hashes, flatten_symbols, symbol_rows,
+        incremental_diff, workspace_fingerprint, workspace_digests, file_languages, encoded_paths, keys_of_file, text_gate, active_symbols, completed_hashes, flatten_symbols, symbol_rows,
     )
 }
 
@@ -393,6 +398,8 @@ SQL = {
  a as (select uri, h from r where run_id <= {SPLIT} qualify row_number() over (partition by uri order by run_id desc, arrived_at desc nulls last, h desc nulls last) = 1),
  b as (select uri, h from r where run_id > {SPLIT} qualify row_number() over (partition by uri order by run_id desc, arrived_at desc nulls last, h desc nulls last) = 1)
  select coalesce(a.uri, b.uri) uri, case when b.uri is null then 'deleted' when a.h = b.h then 'unchanged' else 'changed' end state from a full join b on a.uri = b.uri""",
+    "workspace_digests": f"""{views.sql("files")}, p as (select workspace_id, sha256(path)[1:2] part, sha256(string_agg(path || ':' || coalesce(content_hash, '') || chr(10), '' order by path || ':' || coalesce(content_hash, '') || chr(10))) d
+  from files where workspace_id is not null and path is not null group by 1, 2) select workspace_id, sha256(string_agg(part || ':' || d, '' order by part)) fingerprint from p group by 1""",
     "workspace_fingerprint": f"{views.sql('files')} select workspace_id, sha256(string_agg(path || ':' || coalesce(content_hash, '') || chr(10), '' order by path || ':' || coalesce(content_hash, '') || chr(10))) fingerprint from files group by 1",
     "file_languages": f"""with e as (select path, {_EXT} x from fts_inputs) select case when x = 'rs' then 'rust' when x = 'cs' then 'csharp' when x in ('md', 'markdown', 'mdx') then 'markdown' else 'other' end fts_language,
  case when x = 'rs' then 'rust' when x in ('cs', 'csx') then 'csharp' when x in ('md', 'markdown', 'mdx') then 'markdown' else 'other' end source_language,

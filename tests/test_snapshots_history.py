@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -80,3 +81,18 @@ def test_versions_of_nothing(spark):
     assert history.versions(spark.createDataFrame([], NODE), "node", "run", ["a"], "first", "ended", "at").count() == 0
     only_ended = spark.createDataFrame([("n", 1, "a", "b", 1, 1, 1, "v", 1)], NODE)
     assert history.versions(only_ended, "node", "run", ["a"], "first", "ended", "at").count() == 0
+
+
+def test_digests_by_parts(spark):
+    from factloom.functions import ids
+
+    rows = [(w, f"p{i}", f"h{i}") for w in (1, 2) for i in range(600)]
+    schema = "w long, path string, hash string"
+    before = spark.createDataFrame([*rows, (None, "x", "y"), (1, None, "z")], schema)
+    after = spark.createDataFrame([(w, p, "new" if (w, p) == (1, "p7") else h) for w, p, h in rows if (w, p) != (2, "p9")], schema)
+    a, b = ids.digests(before, "w", "path", "hash"), ids.digests(after, "w", "path", "hash")
+    part = lambda p: hashlib.sha256(p.encode()).hexdigest()[:2]
+    assert {tuple(r) for r in ids.differing_parts(a, b, "w").collect()} == {(1, part("p7")), (2, part("p9"))}
+    whole = lambda d: {r.w: r.fingerprint for r in ids.digest_of(d, "w").collect()}
+    assert set(whole(a)) == {1, 2} and whole(a)[1] == whole(a)[2] != whole(b)[1]
+    assert {r.w: r.fingerprint for r in ids.fingerprint(before, "w", "path", "hash").collect()}[1] == hashlib.sha256("".join(sorted(f"p{i}:h{i}\n" for i in range(600))).encode()).hexdigest()
