@@ -26,6 +26,14 @@ class SearchError(QueryError):
     pass
 
 
+class StoreError(QueryError):
+    """The store cannot be read: a version or a table's files are missing or broken."""
+
+
+class JsonError(QueryError):
+    """A stored JSON text is not valid."""
+
+
 class ConsistencyError(QueryError):
     """The index names a document that the store does not have."""
 

@@ -40,6 +40,20 @@ def test_only_touched_buckets_are_written(spark, store):
     assert store.clean() >= 2 and store.read("edges").count() == 40 and store.read("edges", [0]).count() < 40
 
 
+def test_broken_version(spark, tmp_path):
+    from factloom.requests import JsonError, QueryError
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    Writer(store, "now").create_workspace("file:///w", "rust")
+    version = next((tmp_path / "store/versions").glob("*1.json"))
+    version.write_text("{")
+    for crc in (tmp_path / "store/versions").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(JsonError):
+        store.read("workspaces")
+    assert issubclass(JsonError, QueryError)
+
+
 def test_transaction_is_one_step(spark, store):
     writer = Writer(store, "now")
     with pytest.raises(RuntimeError), store.transaction():
