@@ -38,6 +38,11 @@ def fts_index(spark: SparkSession, sf_dir: str) -> FtsIndex:
 _INDEXES: dict[tuple[str, str], FtsIndex] = {}
 
 
+def fts_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds; the first search over a folder pays for building it."""
+    return fts_index(spark, sf_dir).documents()
+
+
 def fts_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.terms(fts_documents(spark, sf_dir))
 
@@ -171,7 +176,7 @@ _COVERAGES = ("linked", "docs_without_source", "annotations_without_doc", "unlin
 QUERIES = {
     f.__name__: f
     for f in (
-        fts_terms, fts_postings, fts_candidates, fts_filtered, fts_case_sensitive, fts_search, fts_scan_search, fts_matching_lines, fts_snippets,
+        fts_index_documents, fts_terms, fts_postings, fts_candidates, fts_filtered, fts_case_sensitive, fts_search, fts_scan_search, fts_matching_lines, fts_snippets,
         doclink_ids, *map(_coverage, _COVERAGES), doclink_page, doclink_sources, doclink_markdown_refs, doclink_symbols, *_TOPICS,
     )
 }
@@ -224,6 +229,7 @@ _FOUND = {
 }
 
 SQL = {
+    "fts_index_documents": f"with {_DOCS} select uri, path, language, content_hash, cast(greatest(length(content) - 2, 0) as int) length from d where content is not null",
     "fts_terms": f"with {_DOCS}, {_grams('lower(content)')} select term, count(*) doc_count, cast(sum(tf) as bigint) total from (select term, uri, count(*) tf from g group by 1, 2) group by 1",
     "fts_postings": f"with {_DOCS}, {_grams('content')} select term, uri, count(*) tf from g group by 1, 2",
     "fts_candidates": f"with {_DOCS} select uri from d where {_has(QUERY)}",
