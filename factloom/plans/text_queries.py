@@ -25,9 +25,9 @@ def fts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_index(spark: SparkSession, sf_dir: str) -> FtsIndex:
-    """The stored index of a folder's documents, built once in a session."""
+    """The stored index of a folder's documents, built once in a session, and again if the shared folder was emptied."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not _INDEXES[key].pointer.exists():
         index = FtsIndex(spark, f"{shared_dir(spark)}/factloom/fts-{uuid.uuid4().hex}", buckets=16)
         index.update(fts_documents(spark, sf_dir))
         _INDEXES.clear()
